@@ -20,11 +20,32 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(_documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnlake.llm.toxicity import toxicity_report
+
+    return toxicity_report(_documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnlake.llm.langid import langid_report
+
+    return langid_report(_documents(spark, sf_dir))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnlake.llm.pii import pii_report
+
+    return pii_report(_documents(spark, sf_dir))
+
+
 def _register() -> None:
     from tarnlake.llm.mixing import mix_sql
 
     QUERIES["op10_mixing"] = op10_mixing
     ORACLES["op10_mixing"] = mix_sql()
+    QUERIES["op7_toxicity"] = op7_toxicity
+    QUERIES["op9_langid"] = op9_langid
+    QUERIES["op5_pii"] = op5_pii
 
 
 _register()
