@@ -38,6 +38,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_documents(spark, sf_dir))
 
 
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnlake.llm.tokens import token_report
+
+    return token_report(_documents(spark, sf_dir))
+
+
 def _register() -> None:
     from tarnlake.llm.mixing import mix_sql
 
@@ -46,6 +52,7 @@ def _register() -> None:
     QUERIES["op7_toxicity"] = op7_toxicity
     QUERIES["op9_langid"] = op9_langid
     QUERIES["op5_pii"] = op5_pii
+    QUERIES["op8_tokens"] = op8_tokens
 
 
 _register()
