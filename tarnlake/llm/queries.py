@@ -44,6 +44,12 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(_documents(spark, sf_dir))
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnlake.llm.simhash import simhash_report
+
+    return simhash_report(_documents(spark, sf_dir))
+
+
 def _register() -> None:
     from tarnlake.llm.mixing import mix_sql
 
@@ -53,6 +59,7 @@ def _register() -> None:
     QUERIES["op9_langid"] = op9_langid
     QUERIES["op5_pii"] = op5_pii
     QUERIES["op8_tokens"] = op8_tokens
+    QUERIES["op1_simhash"] = op1_simhash
 
 
 _register()
