@@ -50,6 +50,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_report(_documents(spark, sf_dir))
 
 
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnlake.llm.decontam import decontam_report
+
+    return decontam_report(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 def _register() -> None:
     from tarnlake.llm.mixing import mix_sql
 
@@ -60,6 +66,7 @@ def _register() -> None:
     QUERIES["op5_pii"] = op5_pii
     QUERIES["op8_tokens"] = op8_tokens
     QUERIES["op1_simhash"] = op1_simhash
+    QUERIES["op6_decontam"] = op6_decontam
 
 
 _register()
