@@ -56,6 +56,12 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam_report(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnlake.llm.substring import substring_report
+
+    return substring_report(_documents(spark, sf_dir))
+
+
 def _register() -> None:
     from tarnlake.llm.mixing import mix_sql
 
@@ -67,6 +73,7 @@ def _register() -> None:
     QUERIES["op8_tokens"] = op8_tokens
     QUERIES["op1_simhash"] = op1_simhash
     QUERIES["op6_decontam"] = op6_decontam
+    QUERIES["op4_substring"] = op4_substring
 
 
 _register()

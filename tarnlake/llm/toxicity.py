@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -164,9 +165,15 @@ def held_out(df: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY) -> Model:
     """Learn from labelled rows that are not held out, at most so many of each label, by a hash of the id."""
     marks = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("mark"))
-    rows = held_out(docs.select("doc_id", "text")).filter("NOT held_out").join(marks, "doc_id")
-    pick = lambda mark, n: [r["text"] or "" for r in rows.filter(F.col("mark") == mark).orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text").limit(n).collect()]
-    return Model(pick(1, max_toxic), pick(0, max_ordinary))
+    known = held_out(docs.select("doc_id").filter("doc_id IS NOT NULL").distinct()).filter("NOT held_out").join(marks, "doc_id")
+    pick = lambda mark, n: known.filter(F.col("mark") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    # at most max_toxic + max_ordinary ids, so that no text is shuffled to find the sample
+    ids = F.broadcast(pick(1, max_toxic).unionByName(pick(0, max_ordinary)))
+    rows = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "mark", F.coalesce("text", F.lit("")).alias("text")).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r["doc_id"])))
+    texts = lambda mark, n: [r["text"] for r in rows if r["mark"] == mark][:n]
+    return Model(texts(1, max_toxic), texts(0, max_ordinary))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
