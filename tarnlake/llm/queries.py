@@ -62,6 +62,12 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_report(_documents(spark, sf_dir))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnlake.llm.ann import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def _register() -> None:
     from tarnlake.llm.mixing import mix_sql
 
@@ -74,6 +80,7 @@ def _register() -> None:
     QUERIES["op1_simhash"] = op1_simhash
     QUERIES["op6_decontam"] = op6_decontam
     QUERIES["op4_substring"] = op4_substring
+    QUERIES["op3_ann"] = op3_ann
 
 
 _register()
