@@ -29,7 +29,7 @@ MAX_TOXIC, MAX_ORDINARY = 1500, 3000
 #: Words in a window, and between two windows' starts.
 WINDOW, STEP = 8, 6
 #: Bytes of a piece that is counted to tell toxic from ordinary text.
-PIECE = 6
+PIECE = 5
 BASE_BYTES, TOXIC_BYTES = 65536, 4096
 MIN_MATCH = 6
 
@@ -120,8 +120,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class Model:
     """Dictionaries and curve. Fitted by halves: the curve sees texts that the dictionaries don't."""
 
-    def __init__(self, toxic: list[str], ordinary: list[str]) -> None:
-        self.prior = len(toxic) / max(1, len(toxic) + len(ordinary))
+    def __init__(self, toxic: list[str], ordinary: list[str], prior: float | None = None) -> None:
+        """prior: the share of label 1 among all training rows; the sample's own if None."""
+        share = len(toxic) / max(1, len(toxic) + len(ordinary))
+        self.prior = share if prior is None else prior
         self.base = self.extra = b""
         self.weights = None
         if len(toxic) < 4 or len(ordinary) < 4:
@@ -137,6 +139,8 @@ class Model:
         x, y = np.array(rows), np.array(labels)
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         self.weights = _logistic((x - self.mean) / self.scale, y)
+        odds = lambda p: np.log(p / (1 - p))
+        self.weights[-1] += odds(min(max(self.prior, 1e-6), 1 - 1e-6)) - odds(share)
         self.base, self.extra = self._dictionaries(toxic, ordinary)
 
     @staticmethod
@@ -166,6 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordi
     """Learn from labelled rows that are not held out, at most so many of each label, by a hash of the id."""
     marks = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("mark"))
     known = held_out(docs.select("doc_id").filter("doc_id IS NOT NULL").distinct()).filter("NOT held_out").join(marks, "doc_id")
+    counts = {r["mark"]: r["n"] for r in known.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).collect()}
     pick = lambda mark, n: known.filter(F.col("mark") == mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     # at most max_toxic + max_ordinary ids, so that no text is shuffled to find the sample
     ids = F.broadcast(pick(1, max_toxic).unionByName(pick(0, max_ordinary)))
@@ -173,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_ordi
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r["doc_id"])))
     texts = lambda mark, n: [r["text"] for r in rows if r["mark"] == mark][:n]
-    return Model(texts(1, max_toxic), texts(0, max_ordinary))
+    return Model(texts(1, max_toxic), texts(0, max_ordinary), counts.get(1, 0) / max(1, counts.get(0, 0) + counts.get(1, 0)))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
