@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TREES, BITS = 96, 32
-SHARE, LEAST = 0.5, 400
+SHARE, LEAST = 0.5, 2000
 SHARD_ROWS, BLOCK_ROWS = 4096, 16384
 NEAREST = 20
 SEED = 20
@@ -57,7 +57,7 @@ class Forest:
         own = strings(_with_norm(vectors, longest), self.planes)
         self.order = np.argsort(own, axis=1, kind="stable")
         self.sorted = np.take_along_axis(own, self.order, 1)
-        self.enough = min(len(ids), max(LEAST, int(np.ceil(SHARE * len(ids)))))
+        self.enough = min(TREES * len(ids), max(LEAST, int(np.ceil(SHARE * len(ids)))))
 
     def _ranges(self, marks: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """In each tree the stretch that shares a query's first ``levels`` bits."""

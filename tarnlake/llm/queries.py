@@ -68,6 +68,12 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnlake.llm.line_dedup import line_report
+
+    return line_report(_documents(spark, sf_dir))
+
+
 def _register() -> None:
     from tarnlake.llm.mixing import mix_sql
 
@@ -81,6 +87,7 @@ def _register() -> None:
     QUERIES["op6_decontam"] = op6_decontam
     QUERIES["op4_substring"] = op4_substring
     QUERIES["op3_ann"] = op3_ann
+    QUERIES["op2_line_dedup"] = op2_line_dedup
 
 
 _register()
