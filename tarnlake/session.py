@@ -58,4 +58,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tarnlake-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # shuffle files of the job that is done go as soon as the driver drops its objects
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
