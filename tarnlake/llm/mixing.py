@@ -91,9 +91,10 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     return at.withColumn("passes", F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(F.lit(0)).cast("long")).select(*keys, "size", "source_size", "target", "passes", (F.col("size") * F.col("passes")).alias("taken"), "start", "slope")
 
 
-def position(plan_pass: Column = F.lit(0)) -> Column:
-    """Training time in millionths at which a document's pass (from 0) is placed."""
-    share = (plan_pass * F.col("source_size") + F.col("start") + F.col("size") / 2.0) / F.col("target")
+def position(turn: Column | None = None) -> Column:
+    """Training time in millionths at which a document's pass (from 0, the first) is placed."""
+    turn = F.lit(0) if turn is None else turn
+    share = (turn * F.col("source_size") + F.col("start") + F.col("size") / 2.0) / F.col("target")
     return F.floor(schedule_time(F.least(F.lit(1.0), share), F.col("slope")) * 1_000_000).cast("long")
 
 
