@@ -7,7 +7,7 @@ from importlib import import_module
 from tarnlake import registry
 
 FLAGSHIP = "first_seen_over_time"
-MODULES = ("tarnlake.plans.timeline",)
+MODULES = ("tarnlake.plans.timeline", "tarnlake.plans.relational")
 
 
 def _load() -> None:
