@@ -18,6 +18,9 @@ DEFAULTS = {
     "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
 }
 
+#: Shuffle files of a query go when it ends.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session on this machine, for tests and the bench."""
@@ -57,7 +60,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a compressed copy to the shared folder and read it again: survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tarnlake-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # shuffle files of the job that is done go as soon as the driver drops its objects
-    spark.sparkContext._jvm.System.gc()
+    # nothing reads this job's shuffle files again once the copy is written
+    before = spark.conf.get(RELEASE, None)
+    spark.conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(RELEASE)
+        else:
+            spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
