@@ -118,21 +118,39 @@ def _runs(keyed: DataFrame) -> DataFrame:
 
 
 def covered(passages: list[tuple[int, int, list[bytes]]]) -> list[list[tuple[int, int]]]:
-    """For passages (anchor, count, words) of whole anchors, the spans of words that recurring windows cover."""
+    """For passages (anchor, count, words) of whole anchors, the spans of words that recurring windows cover.
+
+    A pattern is a stretch of a passage in which every window recurs, as long as can be: a passage
+    of several places as a whole, else what windows counted word for word leave. Whatever recurs in
+    a passage lies in a stretch of its own, so the automaton of all stretches finds every occurrence.
+    """
     numbers: dict[bytes, int] = {}
     coded = [tuple([numbers.setdefault(w, len(numbers) + 1) for w in words]) for _, _, words in passages]
     alone = Counter(a for a, _, _ in passages)
+    single = {a for a, n, _ in passages if n == 1}
     windows: Counter = Counter()
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    packed: list[list[bytes] | None] = []
     for (anchor, count, _), ids in zip(passages, coded, strict=True):
-        if alone[anchor] == 1 and count > 1:
-            automaton.add_word(ids, len(ids))  # the passage recurs as a whole and shares no window with another
+        if anchor in single and (alone[anchor] > 1 or count == 1):
+            raw = np.array(ids, dtype=np.int32).tobytes()
+            own = [raw[4 * i : 4 * (i + WINDOW)] for i in range(len(ids) - WINDOW + 1)]
+            packed.append(own)
+            for w in own:
+                windows[w] += count
         else:
-            for i in range(len(ids) - WINDOW + 1):
-                windows[ids[i : i + WINDOW]] += count
-    for w, n in windows.items():
-        if n > 1:
-            automaton.add_word(w, WINDOW)
+            packed.append(None)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for (_, count, _), ids, own in zip(passages, coded, packed, strict=True):
+        if count > 1:
+            automaton.add_word(ids, len(ids))
+        elif own is not None:
+            begin = None
+            for i, w in enumerate([*own, b""]):
+                if windows.get(w, 0) > 1:
+                    begin = i if begin is None else begin
+                elif begin is not None:
+                    automaton.add_word(ids[begin : i + WINDOW - 1], i + WINDOW - 1 - begin)
+                    begin = None
     if not len(automaton):
         return [[] for _ in passages]
     automaton.make_automaton()
@@ -162,6 +180,8 @@ def _located(passages: DataFrame) -> DataFrame:
 
         for df in batches:
             for r in zip(df["anchor"], df["passage"], df["count"], df["words"], strict=True):
+                if held and r[:2] == held[-1][:2]:
+                    continue  # read from rows of one key, which are alike
                 if size >= SHARD_WORDS and r[0] != held[-1][0]:
                     yield shard(held)
                     held, size = [], 0
@@ -170,7 +190,7 @@ def _located(passages: DataFrame) -> DataFrame:
         if held:
             yield shard(held)
 
-    return passages.select("anchor", "passage", "count", "words").repartition("anchor").sortWithinPartitions("anchor").mapInPandas(run, "anchor long, passage long, spans array<int>")
+    return passages.select("anchor", "passage", "count", "words").repartition("anchor").sortWithinPartitions("anchor", "passage").mapInPandas(run, "anchor long, passage long, spans array<int>")
 
 
 def _read_passages(rows: DataFrame) -> DataFrame:
@@ -197,9 +217,7 @@ def recurring_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     passages = runs.groupBy("anchor", "passage").agg(F.count(F.lit(1)).alias("count"), F.min(place).alias("at"))
     by_row = passages.groupBy(F.col("at.k").alias("k"), F.col("at.h").alias("h")).agg(F.collect_list(F.struct("anchor", "passage", "count", F.col("at.first").alias("first"), F.col("at.n").alias("n"))).alias("places"))
     read = _read_passages(keyed.select("k", "h", "text").join(by_row, ["k", "h"]).select("text", "places"))
-    # rows of one key are alike, so each passage may be read from any of them
-    read = read.groupBy("anchor", "passage").agg(F.first("count").alias("count"), F.first("words").alias("words"))
-    spans = _located(read)
+    spans = stored(_located(read), "substring-spans")
     found = runs.select("anchor", "passage", "k", "h", "first").join(spans, ["anchor", "passage"])
     moved = F.transform("spans", lambda x: x + F.col("first"))
     return keyed, found.select("k", "h", moved.alias("spans")).groupBy("k", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"))
