@@ -265,7 +265,7 @@ class Field:
                 ids.append([known[w] for w in words])
             except KeyError:
                 ids.append([known[w] if w in known else find(w) for w in words])
-        table = np.array(sorted(self.classes, key=self.classes.get)).reshape(-1, 2)
+        table = np.array(sorted(self.classes, key=self.classes.get), dtype=np.int64).reshape(-1, 2)
         own = [self.by_shape[i][table[:, 0]] + self.by_word[i][table[:, 1]] for i in range(3)]
         own = [np.vstack([x, np.zeros(len(TAGS))]) for x in own]
         out: list = [None] * len(lines)
