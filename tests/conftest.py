@@ -13,7 +13,7 @@ def spark():
     from tarnlake.session import local_session
 
     os.environ.setdefault("OMP_NUM_THREADS", "1")
-    s = local_session(4, 4)
+    s = local_session(4, 2)
     yield s
     s.stop()
 
