@@ -252,3 +252,18 @@ def packed_chunks(sizes: Column, limit: int, spare: int = 0) -> Column:
         return F.struct(F.concat(acc["out"], F.array(chunk)).alias("out"), chunk.alias("chunk"), F.when(opens, x.cast("double")).otherwise(acc["held"] + x).alias("held"))
 
     return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+
+
+def annotation_slices(text: Column, annotations: Column) -> Column:
+    """Structs (start, end, extracted_text) of a JSON text ``[{"start": …, "end": …}]`` of half-open code-point ranges.
+
+    Null or unreadable JSON gives an empty list; ranges that are no ranges of the text are left out.
+    """
+    spans = F.coalesce(F.from_json(annotations, "array<struct<start: int, end: int>>"), F.array().cast("array<struct<start: int, end: int>>"))
+    fine = F.filter(spans, lambda s: (s["start"] >= 0) & (s["end"] > s["start"]) & (s["end"] <= F.length(text)))
+    return F.transform(fine, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("extracted_text")))
+
+
+def json_lists(json: Column) -> Column:
+    """A JSON map of lists as MAP<STRING, ARRAY<STRING>>."""
+    return F.from_json(json, "map<string, array<string>>")

@@ -64,6 +64,12 @@ def shared_target_edges(links: DataFrame, known: DataFrame | None = None) -> Dat
     return edges_of(pairs, "a", "b")
 
 
+def title_association(titles: DataFrame) -> DataFrame:
+    """(a, b, shared) of rows (row, title) that have a title in common, own or cited."""
+    rows = titles.select("row", "title").distinct()
+    return rows.alias("x").join(rows.alias("y"), "title").filter("x.row < y.row").groupBy(F.col("x.row").alias("a"), F.col("y.row").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+
+
 def union_edges(*edges: DataFrame, restrict_to: DataFrame | None = None) -> DataFrame:
     """All edges of several graphs, between the nodes of ``restrict_to`` where given."""
     out = reduce(DataFrame.unionByName, [e.select("src", "dst") for e in edges]).distinct()
