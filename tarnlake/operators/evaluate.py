@@ -97,8 +97,8 @@ def threshold_sweep(scores: DataFrame, points: int = 100) -> DataFrame:
     cell = F.least(F.lit(points - 1), F.floor((F.col("score") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300)) * points)).cast("int")
     counts = scores.crossJoin(F.broadcast(ends)).groupBy(cell.alias("cell"), "lo", "hi").agg(F.sum((F.col("label") == 1).cast("long")).alias("p"), F.sum((F.col("label") != 1).cast("long")).alias("n"))
     above, whole = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy()
-    at = counts.select((F.col("lo") + F.col("cell") * (F.col("hi") - F.col("lo")) / points).alias("threshold"), F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("fp"), F.sum("p").over(whole).alias("P"), F.sum("n").over(whole).alias("N"))
-    tp, fp, pos, neg = (F.col(c).cast("double") for c in ("tp", "fp", "P", "N"))
+    at = counts.select((F.col("lo") + F.col("cell") * (F.col("hi") - F.col("lo")) / points).alias("threshold"), F.sum("p").over(above).alias("tp"), F.sum("n").over(above).alias("fp"), F.sum("p").over(whole).alias("all_p"), F.sum("n").over(whole).alias("all_n"))
+    tp, fp, pos, neg = (F.col(c).cast("double") for c in ("tp", "fp", "all_p", "all_n"))
     fn, tn = pos - tp, neg - fp
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     tpr, tnr = ratio(tp, pos), ratio(tn, neg)
@@ -118,3 +118,35 @@ def otsu(scores: DataFrame, bins: int = 256) -> DataFrame:
     between = F.when(w1 > 0, F.col("w0") * w1 * gap * gap).otherwise(-1.0)
     best = s.orderBy(between.desc(), "cell").limit(1)
     return best.select(F.round(F.col("lo") + (F.col("cell") + 1) * (F.col("hi") - F.col("lo")) / bins, 6).alias("threshold"))
+
+
+def welch_t(scores: DataFrame) -> DataFrame:
+    """(t, df) of Welch's test between the scores of label 1 and the others."""
+    one = lambda mark, n: [f(F.when(mark, F.col("score"))).alias(f"{k}{n}") for k, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))]
+    mark = F.col("label") == 1
+    a = scores.agg(*one(mark, 1), *one(~mark, 0))
+    s1, s0 = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0")
+    return a.select(F.round((F.col("m1") - F.col("m0")) / F.sqrt(s1 + s0), 6).alias("t"), F.round((s1 + s0) * (s1 + s0) / (s1 * s1 / (F.col("n1") - 1) + s0 * s0 / (F.col("n0") - 1)), 6).alias("df"))
+
+
+def rank_tests(scores: DataFrame) -> DataFrame:
+    """(ks, u, z): the Kolmogorov-Smirnov distance and the Mann-Whitney statistic of label 1 against the others.
+
+    Equal scores are counted first; the running counts go over the distinct scores.
+    """
+    counts = scores.groupBy("score").agg(F.sum((F.col("label") == 1).cast("long")).alias("p"), F.sum((F.col("label") != 1).cast("long")).alias("q"))
+    low, whole = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy()
+    run = counts.select("p", "q", F.sum("p").over(low).alias("cp"), F.sum("q").over(low).alias("cq"), F.sum("p").over(whole).cast("double").alias("n1"), F.sum("q").over(whole).cast("double").alias("n0"))
+    out = run.agg(F.max(F.abs(F.col("cp") / F.col("n1") - F.col("cq") / F.col("n0"))).alias("ks"), F.sum(F.col("p") * (F.col("cq") - F.col("q") + F.col("q") / 2)).alias("u"), F.first("n1").alias("n1"), F.first("n0").alias("n0"))
+    z = (F.col("u") - F.col("n1") * F.col("n0") / 2) / F.sqrt(F.col("n1") * F.col("n0") * (F.col("n1") + F.col("n0") + 1) / 12)
+    return out.select(F.round("ks", 6).alias("ks"), F.round("u", 1).alias("u"), F.round(z, 6).alias("z"))
+
+
+def folds(rows: DataFrame, key: str, n: int = 5, seed: int = 42) -> DataFrame:
+    """Rows with a fold from 0, from a hash of the key."""
+    return rows.withColumn("fold", F.conv(F.substring(hash_order(F.col(key), seed=seed), 1, 8), 16, 10).cast("long") % n)
+
+
+def non_direct_p95(scores: DataFrame) -> DataFrame:
+    """(threshold): the 95th percentile of the scores without a direct link."""
+    return scores.filter("label <> 1").agg(F.round(F.percentile("score", F.lit(0.95)), 6).alias("threshold"))

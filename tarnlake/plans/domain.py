@@ -309,3 +309,30 @@ def chosen(spark, sf_dir):
 def seek(spark, sf_dir):
     records = _t(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS filename", "l_linenumber AS line_index", "l_quantity")
     return readers.seek_lines(_t(spark, sf_dir, "orders").filter("o_custkey % 3 = 0").selectExpr("o_orderkey AS filename", "1 AS line_index"), records)
+
+
+_SCORES = "s AS (SELECT value AS score, user_id % 2 AS label FROM events)"
+
+
+def _scores(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select(F.col("value").alias("score"), (F.col("user_id") % 2).alias("label"))
+
+
+@query("e6c_welch_t", f"WITH {_SCORES}, a AS (SELECT avg(score) FILTER (WHERE label = 1) AS m1, var_samp(score) FILTER (WHERE label = 1) / count(*) FILTER (WHERE label = 1) AS s1, count(*) FILTER (WHERE label = 1) AS n1, avg(score) FILTER (WHERE label <> 1) AS m0, var_samp(score) FILTER (WHERE label <> 1) / count(*) FILTER (WHERE label <> 1) AS s0, count(*) FILTER (WHERE label <> 1) AS n0 FROM s) SELECT round((m1 - m0) / sqrt(s1 + s0), 6) AS t, round((s1 + s0) * (s1 + s0) / (s1 * s1 / (n1 - 1) + s0 * s0 / (n0 - 1)), 6) AS df FROM a")
+def welch(spark, sf_dir):
+    return E.welch_t(_scores(spark, sf_dir))
+
+
+@query("e6d_rank_tests", f"WITH {_SCORES}, c AS (SELECT score, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS p, sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS q FROM s GROUP BY score), r AS (SELECT p, q, sum(p) OVER (ORDER BY score) AS cp, sum(q) OVER (ORDER BY score) AS cq, CAST(sum(p) OVER () AS DOUBLE) AS n1, CAST(sum(q) OVER () AS DOUBLE) AS n0 FROM c), t AS (SELECT max(abs(cp / n1 - cq / n0)) AS ks, CAST(sum(p * (cq - q + q / CAST(2 AS DOUBLE))) AS DOUBLE) AS u, any_value(n1) AS n1, any_value(n0) AS n0 FROM r) SELECT round(ks, 6) AS ks, round(u, 1) AS u, round((u - n1 * n0 / 2) / sqrt(n1 * n0 * (n1 + n0 + 1) / 12), 6) AS z FROM t")
+def ranks(spark, sf_dir):
+    return E.rank_tests(_scores(spark, sf_dir))
+
+
+@query("e6e_p95", f"WITH {_SCORES} SELECT round(quantile_cont(score, 0.95), 6) AS threshold FROM s WHERE label <> 1")
+def p95(spark, sf_dir):
+    return E.non_direct_p95(_scores(spark, sf_dir))
+
+
+@query("e6f_folds", "SELECT event_id, CAST(('0x' || substr(md5('42-' || event_id), 1, 8)) AS BIGINT) % 5 AS fold FROM events")
+def fold_numbers(spark, sf_dir):
+    return E.folds(_t(spark, sf_dir, "events").select("event_id"), "event_id")
