@@ -214,7 +214,10 @@ def sampled(spark, sf_dir):
     return E.sample_pairs_8way(_pairs(spark, sf_dir), 200)
 
 
-@query("e2_balanced_pairs")
+@query("e2_balanced_pairs", f"""WITH p AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_linenumber = 1 AND l_suppkey <> l_partkey), e AS ({_e()}),
+ f AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS src, greatest(l_suppkey, l_partkey) AS dst FROM lineitem WHERE l_linenumber = 2 AND l_suppkey <> l_partkey),
+ l AS (SELECT a, b, CASE WHEN EXISTS (SELECT 1 FROM e WHERE src = least(a, b) AND dst = greatest(a, b)) THEN 1 ELSE 0 END AS paper, CASE WHEN EXISTS (SELECT 1 FROM f WHERE src = least(a, b) AND dst = greatest(a, b)) THEN 1 ELSE 0 END AS model FROM p)
+ SELECT a, b, paper, model, CAST(paper AS VARCHAR) || CAST(model AS VARCHAR) AS combination FROM (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY md5('42-' || a || '-' || b), a, b) AS r FROM l) WHERE r <= 50""")
 def balanced(spark, sf_dir):
     return E.balanced_pairs(_pairs(spark, sf_dir), "paper", 100)
 
