@@ -23,8 +23,8 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -56,17 +56,17 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Words(dict):
-    """Ids of words, found by the library's model; the last one or two times ``bound`` are kept."""
+    """Ids of words as bytes, found by the library's model; the last one or two times ``bound`` are kept."""
 
-    def __init__(self, tokenizer, bound: int = 400_000) -> None:
+    def __init__(self, tokenizer, bound: int = 200_000) -> None:
         super().__init__()
         self.model, self.letters, self.bound = tokenizer.model, _byte_letters(), bound
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = tuple([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+            ids = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
         if len(self) >= self.bound:
             self.older = dict(self)
             self.clear()
@@ -85,10 +85,9 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         """The ids of a text with the end id."""
         if SPECIAL in text or UNUSUAL.search(text):
-            out = self.tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            out = chain.from_iterable(map(self.words.__getitem__, SPLIT.findall(text)))
-        return np.array([*out, END], dtype=np.uint32)
+            return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END], dtype=np.uint32)
+        raw = b"".join(map(self.words.__getitem__, SPLIT.findall(text)))
+        return np.frombuffer(raw + bytes(4), dtype=np.uint32)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -157,15 +156,21 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def expansions(rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(flat ids, start, length) of every rule; a rule's parts are ids or earlier rules."""
-    length = np.ones(len(rules), dtype=np.int64)
-    flat: list[list[int]] = []
-    for r, (a, b) in enumerate(rules.tolist()):
-        own = (flat[a - FIRST_RULE] if a >= FIRST_RULE else [a]) + (flat[b - FIRST_RULE] if b >= FIRST_RULE else [b])
-        flat.append(own)
-        length[r] = len(own)
-    starts = np.concatenate([[0], np.cumsum(length)])[:-1].astype(np.int64)
-    return np.array([x for f in flat for x in f], dtype=np.uint32), starts, length
+    """(flat ids, start, length) of every rule; a rule's parts are ids or rules of earlier rounds."""
+    flat, starts, length = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    highest = np.maximum.accumulate(rules.max(axis=1)) if len(rules) else rules
+    while len(length) < len(rules):
+        done = len(length)
+        until = int(np.searchsorted(highest, FIRST_RULE + done, side="left"))
+        parts = rules[done:until].ravel()
+        size = np.ones(len(parts), dtype=np.int64)
+        rule = parts >= FIRST_RULE
+        size[rule] = length[parts[rule].astype(np.int64) - FIRST_RULE]
+        more = size.reshape(-1, 2).sum(1)
+        ids = expand(parts, flat, starts, length)
+        starts = np.concatenate([starts, len(flat) + np.cumsum(more) - more])
+        flat, length = np.concatenate([flat, ids]), np.concatenate([length, more])
+    return flat, starts, length
 
 
 def expand(symbols: np.ndarray, flat: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
