@@ -71,3 +71,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
         else:
             spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*copies: DataFrame) -> None:
+    """Delete results of ``stored`` that nothing reads any more."""
+    for df in copies:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getName().startswith("tarnlake-"):
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
