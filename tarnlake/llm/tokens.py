@@ -129,6 +129,13 @@ def _round(symbols: np.ndarray, last: np.ndarray, first: int) -> tuple[np.ndarra
     value[1:-1] = np.where(same, rank[bins], none)
     mine = value[1:-1]
     taken = np.flatnonzero((mine < value[:-2]) & (mine <= value[2:]))
+    # a symbol said over and over makes one pair at neighbouring places: every other one of them
+    again = np.flatnonzero((mine == value[:-2]) & (mine < none))
+    if len(again):
+        begins = np.flatnonzero(np.diff(again, prepend=-2) != 1)
+        offset = np.arange(len(again)) - np.repeat(begins, np.diff(np.append(begins, len(again)))) + 1
+        again = again[(offset % 2 == 0) & (mine[again] <= value[again + 2])]
+        taken = np.sort(np.concatenate([taken, again]))
     keep = np.ones(len(symbols), dtype=bool)
     keep[taken + 1] = False
     symbols = symbols.copy()
