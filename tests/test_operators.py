@@ -126,3 +126,32 @@ def test_incremental(spark, tmp_path):
     spark.range(3, 5).write.mode("append").parquet(f"{tmp_path}/in")
     ingest(*args)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 5
+
+
+def test_fuzzy_titles_of_all_rows(spark, sf_dir):
+    """Every title asks, and its hits are those of brute force over every other."""
+    from tarnlake.plans import catalog
+    from tarnlake.sources.tables import read_table
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    titles = {r.p_partkey: r.p_name.lower() for r in read_table(spark, sf_dir, "part").select("p_partkey", "p_name").collect()}
+    score = {}
+    for q in set(titles.values()):
+        for d in set(titles.values()):
+            own, other = set(q.split()), set(d.split())
+            if own & other:
+                near = sum(any(edits(a, b) <= 2 for b in other) for a in own)
+                score[q, d] = 5.0 * (q == d) + 3.0 * (q in d) + 2.0 * near / len(own)
+    want = set()
+    for i, q in titles.items():
+        found = sorted((-round(score[q, d], 9), j) for j, d in titles.items() if (q, d) in score)[:5]
+        want |= {(i, n, j, -s) for n, (s, j) in enumerate(found, 1)}
+    got = {tuple(r) for r in catalog.queries()["q7_fuzzy_titles"](spark, sf_dir).collect()}
+    assert got == want
