@@ -58,15 +58,16 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(starts)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of every row."""
+def fingerprints(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the carried columns and fingerprint (as a signed long) of every row."""
+    names = ["doc_id", *carried]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             own = np.array([fingerprint(t) for t in df["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": df["doc_id"], "fp": own})
+            yield df[names].assign(fp=own)
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select(*names, "text").mapInPandas(run, ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names) + ", fp long")
 
 
 def references() -> tuple[np.ndarray, np.ndarray]:
@@ -194,15 +195,15 @@ def links(fps: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     return dealt.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInPandas(run, "src long, dst long").distinct()
 
 
-def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id of the component) of every row."""
-    slim = stored(fingerprints(docs), "simhash")
+def near_duplicates(docs: DataFrame, most_bits: int = MOST_BITS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the carried columns, fp, top (the component's fingerprint) and component_id (its smallest doc_id) of every row."""
+    slim = stored(fingerprints(docs, carried), "simhash")
     classes = slim.groupBy("fp").agg(F.min("doc_id").alias("least"))
     forest = star_forest(links(classes.select("fp"), most_bits))
     named = classes.join(forest, classes["fp"] == forest["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("top"))
     named = stored(named, "simhash-classes")
     least = named.groupBy("top").agg(F.min("least").alias("component_id"))
-    return slim.join(named.join(least, "top").select("fp", "component_id"), "fp")
+    return slim.join(named.join(least, "top").select("fp", "top", "component_id"), "fp")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
@@ -211,14 +212,17 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component, with its own columns: the one with the smallest doc_id.
+    """One row of each component, with its own columns: the one with the smallest doc_id, null only if none has one.
 
     Of rows that share that id, the one whose columns' hash is smallest stays; equal rows are one.
     """
     key, columns = "simhash_row_key", docs.columns
-    while key in columns:
+    while any(c.startswith(key) for c in columns):
         key += "_"
-    report = near_duplicates(docs)
-    keep = report.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("component_id").alias(key))
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep[key]), "left_semi")
-    return kept.withColumn(key, F.xxhash64(*columns)).groupBy("doc_id").agg(F.min_by(F.struct(*columns), key).alias("row")).select("row.*")
+    # a hash passes over nulls, so the second one, by which rows of one hash are told apart, takes the null marks too
+    keys = (f"{key}1", f"{key}2")
+    keyed = docs.select("*", F.xxhash64(*columns).alias(keys[0]), F.xxhash64(*[F.col(c).isNull() for c in columns], *columns).alias(keys[1]))
+    report = near_duplicates(keyed, carried=keys)
+    keep = report.groupBy("top").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *keys)).alias("row")).select(*[F.col(f"row.{k}").alias(k) for k in keys])
+    kept = keyed.join(keep, list(keys), "left_semi")
+    return kept.groupBy(*keys).agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
