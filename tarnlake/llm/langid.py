@@ -5,7 +5,8 @@ pass; each task sums its own rows, so what is shuffled is bounded by languages t
 table of log probabilities goes to the executors by broadcast, and a batch of texts is scored by
 sparse look-ups in numpy.
 
-``max_rows`` bounds the sample of training rows (chosen by a hash of the id); prediction reads every
+``max_rows`` bounds the sample of training rows (chosen by a hash of id and text). Each language has
+an equal share of it; what a rare one, kept whole, can't fill goes to the rest. Prediction reads every
 text whole. Language, source and id are no inputs of a prediction.
 
 Defined results: ``und`` with score 0 for a null text and for one without a letter, and for every
@@ -15,6 +16,7 @@ in code point order.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -109,12 +111,22 @@ def held_out(df: DataFrame) -> DataFrame:
     return df.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))
 
 
+def shares(found: dict[str, int], max_rows: int) -> dict[str, float]:
+    """The part of each language's rows that is kept: all of the rare ones, equal numbers of the others."""
+    out, left = {}, max_rows
+    for i, (n, lang) in enumerate(sorted((n, lang) for lang, n in found.items())):
+        quota = min(n, left / (len(found) - i))
+        out[lang], left = quota / n, left - quota
+    return out
+
+
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     rows = held_out(docs.select("doc_id", "text", "lang")).filter("NOT held_out AND lang IS NOT NULL AND text IS NOT NULL")
     found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs, total = sorted(found), sum(found.values())
     if total > max_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / total))
+        kept = F.create_map(*[F.lit(x) for lang, part in shares(found, max_rows).items() for x in (lang, math.ceil(1_000_000 * part))])
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < kept[F.col("lang")])
     place = {x: i for i, x in enumerate(langs)}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -170,3 +170,21 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(df.limit(0)).count() == 0
     few = {r.vec_id for r in ann.nearest(df.filter("vec_id IN (0, 1, 2)")).collect()}
     assert few == {1, 2}
+
+
+def test_langid_keeps_rare_languages_whole(spark, monkeypatch):
+    """A bounded sample learns every row of a rare language; rows without an id stay within the bound."""
+    sizes = {"aa": 3000, "bb": 3000, "cc": 12}
+    langs = [x for x, n in sizes.items() for _ in range(n)]
+    docs = frame(spark, [f"{x} {i}" for i, x in enumerate(langs)], langs, ids=list(range(len(langs))))
+    rows = []
+    monkeypatch.setattr(langid, "Model", lambda langs, counts, n: rows.append({x: round(counts[:, k].sum()) for k, x in enumerate(langs)}))
+    langid.fit(docs)
+    langid.fit(docs, 600)
+    langid.fit(docs.withColumn("doc_id", langid.F.lit(None).cast("long")), 600)
+    # each text is one word of the same length, so n-grams tell the rows
+    per = rows[0]["aa"] / langid.held_out(docs).filter("NOT held_out AND lang = 'aa'").count()
+    for found in rows[1:]:
+        assert 450 <= sum(found.values()) / per <= 750
+    assert rows[1]["cc"] == rows[0]["cc"]
+    assert rows[2]["cc"] / per == 12
