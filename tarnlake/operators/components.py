@@ -39,5 +39,7 @@ def star_forest(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: in
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

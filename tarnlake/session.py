@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +24,10 @@ DEFAULTS = {
 #: Shuffle files of a query go when it ends.
 RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+_LOCK = threading.Lock()
+#: The setting before the first use, then a mark for each use.
+_USES: list[str | None] = []
+
 
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session on this machine, for tests and the bench."""
@@ -35,7 +42,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and set.
+    Only where that is unset on a local master (tests on one machine) a temporary folder is made and
+    set; on a cluster it would be seen by the driver's machine alone, and so is an error.
     """
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -45,6 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
         return known
     if not sc._jsc.sc().getCheckpointDir().isEmpty():
         return sc._jsc.sc().getCheckpointDir().get()
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="tarnlake-")
     sc.setCheckpointDir(made)
     return sc._jsc.sc().getCheckpointDir().get()
@@ -56,20 +66,42 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def own_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is there goes when the driver ends, if nothing deletes it before."""
+    name = f"{shared_dir(spark).rstrip('/')}/tarnlake-{label}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return name
+
+
+@contextmanager
+def _released(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs inside go at their end; nested or parallel uses count, the last one out resets the setting."""
+    with _LOCK:
+        if not _USES:
+            _USES.append(spark.conf.get(RELEASE, None))
+            spark.conf.set(RELEASE, "true")
+        _USES.append(None)
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _USES.pop()
+            if len(_USES) == 1:
+                before = _USES.pop()
+                if before is None:
+                    spark.conf.unset(RELEASE)
+                else:
+                    spark.conf.set(RELEASE, before)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a compressed copy to the shared folder and read it again: survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tarnlake-{label}-{uuid.uuid4().hex}"
+    path = own_path(spark, label)
     # nothing reads this job's shuffle files again once the copy is written
-    before = spark.conf.get(RELEASE, None)
-    spark.conf.set(RELEASE, "true")
-    try:
+    with _released(spark):
         df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(RELEASE)
-        else:
-            spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
