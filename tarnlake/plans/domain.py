@@ -66,10 +66,10 @@ def intents(spark, sf_dir):
 
 
 def _refs(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "lineitem").filter("l_partkey % 4 = 0"), F.expr("o_orderkey = l_orderkey")).select(F.col("o_custkey").alias("paper"), F.col("l_partkey").alias("ref"))
+    return _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "lineitem"), F.expr("o_orderkey = l_orderkey")).select(F.col("o_custkey").alias("paper"), F.col("l_partkey").alias("ref"))
 
 
-_REFS = "r AS (SELECT DISTINCT o_custkey AS paper, l_partkey AS ref FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_partkey % 4 = 0), n AS (SELECT paper, count(*) AS n FROM r GROUP BY paper), s AS (SELECT x.paper AS a, y.paper AS b, count(*) AS i FROM r x JOIN r y ON x.ref = y.ref AND x.paper < y.paper GROUP BY 1, 2)"
+_REFS = "r AS (SELECT DISTINCT o_custkey AS paper, l_partkey AS ref FROM orders JOIN lineitem ON o_orderkey = l_orderkey), n AS (SELECT paper, count(*) AS n FROM r GROUP BY paper), s AS (SELECT x.paper AS a, y.paper AS b, count(*) AS i FROM r x JOIN r y ON x.ref = y.ref AND x.paper < y.paper GROUP BY 1, 2)"
 
 
 @query("g6_overlap", f"WITH {_REFS} SELECT a, b, i AS inter, round(i / CAST(na.n + nb.n - i AS DOUBLE), 6) AS jaccard, round(2 * i / CAST(na.n + nb.n AS DOUBLE), 6) AS dice, round(greatest(i / CAST(na.n AS DOUBLE), i / CAST(nb.n AS DOUBLE)), 6) AS max_pr FROM s JOIN n na ON a = na.paper JOIN n nb ON b = nb.paper WHERE greatest(i / CAST(na.n AS DOUBLE), i / CAST(nb.n AS DOUBLE)) >= 0.1")
@@ -83,14 +83,13 @@ def direct(spark, sf_dir):
     return G.direct_edges(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("paper"), (F.col("o_orderkey") % 1500).alias("ref")))
 
 
-_INC = "inc AS (SELECT DISTINCT l_suppkey AS node, l_partkey AS t FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 5 = 0), adj AS (SELECT DISTINCT a.s_suppkey AS p, b.s_suppkey AS q FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey)"
+_INC = "inc AS (SELECT DISTINCT l_orderkey AS node, l_partkey AS t FROM lineitem), adj AS (SELECT DISTINCT a.o_orderkey AS p, b.o_orderkey AS q FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority)"
 
 
 @query("g7_lifted", f"WITH {_INC} SELECT DISTINCT least(x.t, y.t) AS src, greatest(x.t, y.t) AS dst FROM inc x JOIN adj ON x.node = adj.p JOIN inc y ON adj.q = y.node WHERE x.t <> y.t")
 def lifted(spark, sf_dir):
-    s = _t(spark, sf_dir, "supplier")
-    near = G.shared_target_edges(s.select(F.col("s_suppkey").alias("model"), F.col("s_nationkey").alias("target")))
-    inc = _t(spark, sf_dir, "lineitem").filter("l_linenumber = 1 AND l_partkey % 5 = 0").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("table"))
+    near = G.shared_target_edges(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("model"), F.concat_ws("/", "o_custkey", "o_orderpriority").alias("target")))
+    inc = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_partkey").alias("table"))
     return G.lift_edges(inc, near)
 
 
@@ -100,11 +99,11 @@ def shared_target(spark, sf_dir):
 
 
 def _edges(spark, sf_dir, line=1):
-    return G.edges_of(_t(spark, sf_dir, "lineitem").filter(f"l_linenumber = {line} AND l_orderkey % 20 = 0"), "l_suppkey", "l_partkey")
+    return G.edges_of(_t(spark, sf_dir, "lineitem").filter(f"l_linenumber = {line}"), "l_suppkey", "l_partkey")
 
 
 def _e(line=1):
-    return f"SELECT DISTINCT least(l_suppkey, l_partkey) AS src, greatest(l_suppkey, l_partkey) AS dst FROM lineitem WHERE l_linenumber = {line} AND l_orderkey % 20 = 0 AND l_suppkey <> l_partkey"
+    return f"SELECT DISTINCT least(l_suppkey, l_partkey) AS src, greatest(l_suppkey, l_partkey) AS dst FROM lineitem WHERE l_linenumber = {line} AND l_suppkey <> l_partkey"
 
 
 @query("g9_union", f"SELECT src, dst FROM ({_e(1)} UNION {_e(2)}) WHERE src % 2 = 0 AND dst % 2 = 0")
@@ -128,9 +127,9 @@ def covered(spark, sf_dir):
     return G.coverage(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("q")), _edges(spark, sf_dir))
 
 
-@query("g11_neighbors", f"WITH e AS ({_e()}), m AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) SELECT src AS node, dst AS neighbor FROM m WHERE src < 50")
+@query("g11_neighbors", f"WITH e AS ({_e()}), m AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e) SELECT src AS node, dst AS neighbor FROM m WHERE src IN (SELECT p_partkey FROM part)")
 def near(spark, sf_dir):
-    return G.neighbors(_edges(spark, sf_dir), _t(spark, sf_dir, "part").filter("p_partkey < 50").select("p_partkey"))
+    return G.neighbors(_edges(spark, sf_dir), _t(spark, sf_dir, "part").select("p_partkey"))
 
 
 @query("a22_components", """WITH RECURSIVE e AS (SELECT DISTINCT a.o_orderkey AS x, b.o_orderkey AS y FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey), m AS (SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component FROM orders) SELECT node, component FROM m""")
@@ -167,14 +166,6 @@ def hybrid(spark, sf_dir):
     return S.hybrid_interpolate(other, sparse, 0.45, 10)
 
 
-@query("q4_hybrid_reranked", "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id FROM (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.vec_id) AS rank FROM e a JOIN e b ON b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 20 WHERE a.vec_id % 10 = 0) WHERE rank <= 5")
-def reranked(spark, sf_dir):
-    v = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    q = v.filter("id % 10 = 0").select(F.col("id").alias("query_id"), F.explode(F.expr("sequence(1, 20)")).alias("rank"))
-    sparse = q.join(v.select(F.col("id").alias("doc_id")), F.expr("doc_id = query_id + rank")).select("query_id", "rank", "doc_id", (1.0 / F.col("rank")).alias("score"))
-    return S.hybrid_rerank(sparse, v, 5).select("query_id", "rank", "doc_id")
-
-
 def _results(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("score")).selectExpr("l_suppkey AS query_id", "CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY score DESC, l_partkey) AS INT) AS rank", "l_partkey AS doc_id", "score").filter("rank <= 20")
 
@@ -187,9 +178,14 @@ def postprocessed(spark, sf_dir):
     return S.without_self_at_top(_results(spark, sf_dir), 10).select("query_id", "rank", "doc_id")
 
 
-@query("q6_model_search", f"WITH {_RES}, m AS (SELECT DISTINCT c_custkey AS model, c_custkey % 100 AS t FROM customer WHERE c_custkey % 10 = 0) SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT a.model AS query_id, b.model AS doc_id, CAST(count(*) AS DOUBLE) AS score FROM m a JOIN res ON a.t = res.query_id JOIN m b ON b.t = res.doc_id WHERE a.model <> b.model GROUP BY 1, 2)) WHERE rank <= 5")
+@query("q4_hybrid_reranked", f"WITH {_RES}, e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT query_id, CAST(new AS INTEGER) AS rank, doc_id FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC NULLS LAST, rank, doc_id) AS new FROM res LEFT JOIN e a ON a.vec_id = query_id LEFT JOIN e b ON b.vec_id = doc_id WHERE query_id <> doc_id) WHERE new <= 5")
+def reranked(spark, sf_dir):
+    return S.hybrid_rerank(_results(spark, sf_dir), _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 5).select("query_id", "rank", "doc_id")
+
+
+@query("q6_model_search", f"WITH {_RES}, m AS (SELECT DISTINCT c_custkey AS model, c_custkey % 100 AS t FROM customer) SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT a.model AS query_id, b.model AS doc_id, CAST(count(*) AS DOUBLE) AS score FROM m a JOIN res ON a.t = res.query_id JOIN m b ON b.t = res.doc_id WHERE a.model <> b.model GROUP BY 1, 2)) WHERE rank <= 5")
 def models_found(spark, sf_dir):
-    m = _t(spark, sf_dir, "customer").filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("model"), (F.col("c_custkey") % 100).alias("table"))
+    m = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("model"), (F.col("c_custkey") % 100).alias("table"))
     return S.model_search(m, _results(spark, sf_dir), 5)
 
 
@@ -223,10 +219,10 @@ def balanced(spark, sf_dir):
 
 
 def _votes(spark, sf_dir):
-    return _t(spark, sf_dir, "events").filter("user_id < 100").select((F.col("event_id") % 500).alias("pair"), F.col("event_id").alias("judge"), F.when(F.col("value") > 60, "YES").when(F.col("value") < 30, "NO").otherwise("UNSURE").alias("vote"))
+    return _t(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("pair"), F.col("event_id").alias("judge"), F.when(F.col("value") > 60, "YES").when(F.col("value") < 30, "NO").otherwise("UNSURE").alias("vote"))
 
 
-_VOTES = "v AS (SELECT event_id % 500 AS pair, event_id AS judge, CASE WHEN value > 60 THEN 'YES' WHEN value < 30 THEN 'NO' ELSE 'UNSURE' END AS vote FROM events WHERE user_id < 100), m AS (SELECT pair, vote, count(*) AS c, min(judge) AS first FROM v GROUP BY 1, 2), b AS (SELECT pair, vote, c, sum(c) OVER (PARTITION BY pair) AS n, row_number() OVER (PARTITION BY pair ORDER BY c DESC, first) AS r FROM m)"
+_VOTES = "v AS (SELECT event_id % 500 AS pair, event_id AS judge, CASE WHEN value > 60 THEN 'YES' WHEN value < 30 THEN 'NO' ELSE 'UNSURE' END AS vote FROM events), m AS (SELECT pair, vote, count(*) AS c, min(judge) AS first FROM v GROUP BY 1, 2), b AS (SELECT pair, vote, c, sum(c) OVER (PARTITION BY pair) AS n, row_number() OVER (PARTITION BY pair ORDER BY c DESC, first) AS r FROM m)"
 
 
 @query("e3_majority", f"WITH {_VOTES} SELECT pair, vote, round(c / CAST(n AS DOUBLE), 6) AS consistency, c = n AS unanimous, CAST(n AS BIGINT) AS n FROM b WHERE r = 1")

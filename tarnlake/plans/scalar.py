@@ -15,7 +15,7 @@ URLS = """SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN concat('https:/
  WHEN 3 THEN concat('(https://example.org/a/', p_name, '.png)') WHEN 4 THEN concat('www.site', CAST(p_size AS {s}), '.com/x.pdf') WHEN 5 THEN concat('https://huggingface.co/Org', CAST(p_size AS {s}), '/Model-', CAST(p_partkey AS {s}), '.')
  WHEN 6 THEN concat('https://dl.acm.org/doi/', CAST(p_partkey AS {s}), '](x)') ELSE concat('http://medrxiv.org/10.1101/', lpad(CAST(p_partkey AS {s}), 6, '0')) END AS url FROM part"""
 CARD = """SELECT doc_id, concat(CASE WHEN doc_id % 3 = 0 THEN concat('---~license: mit~tags: [A, B,', lang, ']~base_model: Org/Base-', CAST(doc_id % 9 AS {s}), '~---~') WHEN doc_id % 3 = 1 THEN '---~broken: yes~' ELSE '' END,
- 'See https://arxiv.org/abs/2101.', lpad(CAST(doc_id AS {s}), 5, '0'), ', and (https://github.com/org/repo). ', substr(text, 1, 200)) AS card FROM documents"""
+ 'See https://arxiv.org/abs/2101.', lpad(CAST(doc_id AS {s}), 5, '0'), ', and (https://github.com/org/repo). ', coalesce(text, '')) AS card FROM documents"""
 
 
 def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:

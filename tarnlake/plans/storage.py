@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,14 +10,14 @@ from tarnlake.operators import graph as G
 from tarnlake.operators import search as S
 from tarnlake.plans.dialect import both
 from tarnlake.registry import query
-from tarnlake.session import shared_dir
+from tarnlake.session import own_path
 from tarnlake.sources import readers, writers
 from tarnlake.sources.tables import TABLES, read_table
 from tarnlake.streaming import ingest as I
 
 
 def _place(spark, name):
-    return f"{shared_dir(spark).rstrip('/')}/tarnlake-{name}-{uuid.uuid4().hex}"
+    return own_path(spark, name)
 
 
 def _part(spark, sf_dir):
@@ -138,9 +137,9 @@ def json_lists(spark, sf_dir):
     return rows.select("id", "query", F.posexplode("hits").alias("rank", "hit"))
 
 
-@query("g9b_title_association", "WITH t AS (SELECT DISTINCT l_orderkey AS r, l_partkey AS t FROM lineitem WHERE l_partkey % 7 = 0) SELECT a.r AS a, b.r AS b, count(*) AS shared FROM t a JOIN t b ON a.t = b.t AND a.r < b.r GROUP BY 1, 2")
+@query("g9b_title_association", "WITH t AS (SELECT DISTINCT l_orderkey AS r, l_partkey AS t FROM lineitem) SELECT a.r AS a, b.r AS b, count(*) AS shared FROM t a JOIN t b ON a.t = b.t AND a.r < b.r GROUP BY 1, 2")
 def association(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "lineitem").filter("l_partkey % 7 = 0").select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("title"))
+    rows = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("title"))
     return G.title_association(rows)
 
 

@@ -90,29 +90,29 @@ def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x12_readme_title", "SELECT doc_id, 'Title ' || doc_id AS title FROM documents")
 def readme_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Repository files navigation\n\n[link]\n# Title "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.substring("text", 1, 50)).alias("text"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Repository files navigation\n\n[link]\n# Title "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("text"))
     return X.mapped(docs, X.readme_title, "title", "string")
 
 
 @query("x15_bibtex_blocks", "SELECT doc_id, 1 AS n FROM documents")
 def bibtex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("see\n@article{k,\n title = {A {B} c},\n year=2020\n}\nend "), F.translate(F.substring("text", 1, 40), "{}@", "")).alias("text"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("see\n@article{k,\n title = {A {B} c},\n year=2020\n}\nend "), F.translate(F.coalesce("text", F.lit("")), "{}@", "")).alias("text"))
     return X.mapped(docs, lambda t: len(X.bibtex_blocks(t)), "n", "int")
 
 
 @query("x16_parsed_bibtex", "SELECT doc_id, 'article' AS entry_type, 'T' || doc_id AS title, '2020' AS year, 1::BIGINT AS successful FROM documents")
 def bibtex_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('@article{k, title = "T'), F.col("doc_id").cast("string"), F.lit('",\n year = 2020 }')).alias("text"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('@article{k, title = "T'), F.col("doc_id").cast("string"), F.lit('",\n year = 2020,\n note = {'), F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "), F.lit("} }")).alias("text"))
     return X.parsed_bibtex(docs).select("doc_id", F.col("bibtex")[0]["entry_type"].alias("entry_type"), F.col("bibtex")[0]["title"].alias("title"), F.col("bibtex")[0]["year"].alias("year"), "successful")
 
 
 @query("x17_yaml_tags", "SELECT doc_id, 'mit' AS license, 'a, b' AS tags FROM documents")
 def yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.lit("license: mit\ntags:\n- a\n- b\n").alias("tags"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("license: mit\ntags:\n- a\n- b\nsummary: about "), F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "), F.lit("\n")).alias("tags"))
     return X.tag_columns(X.front_matter_tags(docs), ["license", "tags"]).select("doc_id", F.col("tags_license").alias("license"), F.col("tags_tags").alias("tags"))
 
 
-@query("x23_table_context", "SELECT doc_id, 1 AS n_captions FROM documents")
+@query("x23_table_context", "SELECT doc_id, CAST(1 + len(list_filter(regexp_split_to_array(coalesce(text, ''), '\n\s*\n'), lambda p: regexp_matches(trim(p), '^(?i)(table|tab\.)\s*[0-9ivx]+\s*[:.]'))) AS INTEGER) AS n_captions FROM documents")
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.lit("Table 1: scores\n\nAs the table shows.\n\n| a | b |\n").alias("text"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n\nTable 1: scores\n\nAs the table shows.\n\n| a | b |\n")).alias("text"))
     return X.mapped(docs, lambda t: len(X.table_context(t)["captions"]), "n_captions", "int")
