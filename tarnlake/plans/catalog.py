@@ -7,7 +7,7 @@ from importlib import import_module
 from tarnlake import registry
 
 FLAGSHIP = "first_seen_over_time"
-MODULES = ("tarnlake.plans.timeline", "tarnlake.plans.relational", "tarnlake.plans.scalar", "tarnlake.plans.table_queries", "tarnlake.plans.domain", "tarnlake.plans.storage")
+MODULES = ("tarnlake.plans.timeline", "tarnlake.plans.relational", "tarnlake.plans.scalar", "tarnlake.plans.table_queries", "tarnlake.plans.domain", "tarnlake.plans.storage", "tarnlake.plans.operator_queries")
 
 
 def _load() -> None:

@@ -23,11 +23,6 @@ CARDS = """cards AS (SELECT doc_id AS model_id, source AS author, n_chars AS lik
   CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN '' WHEN doc_id % 11 = 0 THEN 'Entry not found' WHEN doc_id % 19 = 0 THEN ' N/A ' ELSE text END AS card FROM documents)"""
 
 # -- predicates
-both("p1_valid_card", f"WITH {CARDS} SELECT model_id, author FROM cards WHERE card IS NOT NULL AND card <> '' AND card <> 'Entry not found'", DOCS)
-both("p2_strict_valid_card", f"""WITH {CARDS} SELECT model_id, length(card) AS n FROM cards WHERE card IS NOT NULL AND trim(card) <> ''
-  AND trim(card) NOT IN ('None', 'none', 'Null', 'null', 'N/A', 'n/a', 'Entry not found') AND length(card) > 10 AND card <> 'Invalid username or password.'""", DOCS)
-both("p3_empty_pattern", f"""WITH {CARDS} SELECT CASE WHEN card IS NULL THEN 'null' WHEN card = '' THEN 'empty' WHEN trim(card) = 'N/A' THEN 'na' WHEN card = 'Entry not found' THEN 'not_found' ELSE 'other' END AS pattern,
-  count(*) AS n FROM cards GROUP BY 1""", DOCS)
 both("p4_has_any_table", f"WITH {LISTS} SELECT model_id FROM lists WHERE hugging > 0 OR github > 0 OR html > 0 OR llm > 0", LINKED)
 both("p5_only_hugging", f"WITH {LISTS} SELECT model_id, hugging FROM lists WHERE hugging > 0 AND github = 0 AND html = 0 AND llm = 0", LINKED)
 both("p6_generic_exclude", f"WITH {LONG} SELECT model_id, table_id FROM links WHERE CAST(table_id AS $STR) NOT LIKE '%99%' AND CAST(table_id AS $STR) NOT LIKE '%17'", LINKED)
@@ -36,9 +31,6 @@ both("p7_size_filter", f"""WITH {LONG}, shape AS (SELECT table_id, count(*) AS n
 both("p8_flag_sums", f"""WITH {CARDS} SELECT author, sum(CASE WHEN card IS NULL THEN 1 ELSE 0 END) AS n_null, sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS n_en,
   round(sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) * 100.0 / count(*), 2) AS pct_en FROM cards GROUP BY author""".replace("100.0", "CAST(100 AS DOUBLE)"), DOCS)
 both("p9_membership", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)", LABELS)
-both("p10_list_match", f"""WITH {LONG}, m AS (SELECT model_id, array_agg(CAST(table_id AS $STR)) AS l FROM links GROUP BY model_id) SELECT model_id FROM m WHERE array_contains(l, '7') OR array_contains(l, '42')""", LINKED)
-both("p11_template_score", """SELECT score, count(*) AS n FROM (SELECT CASE WHEN text LIKE '%license%' THEN 1 ELSE 0 END + CASE WHEN text LIKE '%token%' THEN 1 ELSE 0 END + CASE WHEN text LIKE '%http%' THEN 1 ELSE 0 END
-  + CASE WHEN text LIKE '%@%' THEN 1 ELSE 0 END + CASE WHEN text LIKE '%|%' THEN 1 ELSE 0 END AS score FROM documents) GROUP BY score""", DOCS)
 both("p12_template_equality", """WITH t AS (SELECT text AS template FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents)),
   c AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN concat('  ', template, ' ') WHEN doc_id % 7 = 1 THEN concat('---~a: 1~---~', template) WHEN doc_id % 7 = 2 THEN template ELSE text END AS card, template FROM documents CROSS JOIN t)
   SELECT doc_id, card = template AS exact, trim(card) = trim(template) AS normalized,
@@ -60,16 +52,16 @@ both("j8_semi_whitelist", """WITH w AS (SELECT p_partkey AS id FROM part WHERE p
 both("j9_anti", "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)", LABELS)
 both("j10_full_outer_diff", """WITH a AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_linenumber = 1), b AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_linenumber = 2)
   SELECT CASE WHEN a.id IS NULL THEN 'only_b' WHEN b.id IS NULL THEN 'only_a' ELSE 'both' END AS side, count(*) AS n FROM a FULL OUTER JOIN b ON a.id = b.id GROUP BY 1""", ("lineitem",))
-both("j10b_full_outer_date", """WITH a AS (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events WHERE event_type <> 'click' AND user_id % 5 = 0 GROUP BY 1)
+both("j10b_full_outer_date", """WITH a AS (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events WHERE event_type <> 'click' GROUP BY 1)
   SELECT coalesce(a.d, b.d) AS d, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b FROM a FULL OUTER JOIN b ON a.d = b.d""", ("events",))
 both("j10c_left_chain", """WITH c AS (SELECT o_custkey AS id, count(*) AS n_citations FROM orders GROUP BY 1), r AS (SELECT o_custkey AS id, count(DISTINCT l_partkey) AS n_references FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)
   SELECT c_custkey AS id, n_citations, n_references FROM customer LEFT JOIN c ON c.id = c_custkey LEFT JOIN r ON r.id = c_custkey""", ("customer", *LINKED))
 both("j10d_anti_then_inner", """WITH local AS (SELECT c_custkey AS id, lower(c_name) AS t FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)), api AS (SELECT c_custkey AS api_id, lower(c_name) AS t FROM customer)
   SELECT DISTINCT id, api_id FROM local JOIN api ON local.t = api.t""", ("customer", "orders"))
-both("j11_shared_key", """WITH refs AS (SELECT DISTINCT o_custkey AS paper, l_partkey AS ref FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_partkey % 4 = 0)
+both("j11_shared_key", """WITH refs AS (SELECT DISTINCT o_custkey AS paper, l_partkey AS ref FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
   SELECT a.paper AS a, b.paper AS b, count(*) AS shared FROM refs a JOIN refs b ON a.ref = b.ref AND a.paper < b.paper GROUP BY 1, 2""", LINKED)
-both("j12_matrix_product", """WITH inc AS (SELECT DISTINCT l_suppkey AS paper, l_partkey AS t FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 10 = 0), adj AS (SELECT DISTINCT a.s_suppkey AS p, b.s_suppkey AS q FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey),
-  pt AS (SELECT DISTINCT inc.t, adj.q FROM inc JOIN adj ON inc.paper = adj.p) SELECT DISTINCT pt.t AS src, inc.t AS dst FROM pt JOIN inc ON pt.q = inc.paper WHERE pt.t < inc.t""", ("lineitem", "supplier"))
+both("j12_matrix_product", """WITH inc AS (SELECT DISTINCT l_orderkey AS paper, l_partkey AS t FROM lineitem), adj AS (SELECT DISTINCT a.o_orderkey AS p, b.o_orderkey AS q FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate),
+  pt AS (SELECT DISTINCT inc.t, adj.q FROM inc JOIN adj ON inc.paper = adj.p) SELECT DISTINCT pt.t AS src, inc.t AS dst FROM pt JOIN inc ON pt.q = inc.paper WHERE pt.t < inc.t""", LINKED)
 both("j13_lookup", "SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey", ("customer", "nation", "region"))
 both("j14_occurrence", """WITH a AS (SELECT o_custkey AS k, o_orderkey AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS occ FROM orders), b AS (SELECT user_id AS k, event_id AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS occ FROM events)
   SELECT a.k, a.occ, a.v AS order_id, b.v AS event_id FROM a JOIN b ON a.k = b.k AND a.occ = b.occ""", ("orders", "events"))
@@ -83,7 +75,7 @@ both("a4_daily_ratio", "SELECT CAST(ts AS DATE) AS d, round(count(CASE WHEN even
 both("a5_joined_ids", f"WITH {LONG} SELECT table_id, $JOIN(array_sort(array_agg(DISTINCT CAST(model_id AS $STR))), '; ') AS models FROM links GROUP BY table_id", LINKED)
 both("a6_query_candidates", "SELECT c_nationkey AS query, $JOIN(array_sort(array_agg(DISTINCT c_mktsegment)), ',') AS candidates FROM customer GROUP BY c_nationkey", ("customer",))
 both("a7_list_union", f"""WITH {LONG}, m AS (SELECT model_id % 100 AS g, array_agg(DISTINCT table_id) AS l FROM links GROUP BY model_id) SELECT g, $JOIN(array_sort($DISTINCTLIST($FLAT(array_agg(l)))), ',') AS ids FROM m GROUP BY g""", LINKED)
-both("a8_group_texts", """SELECT source, $JOIN(array_agg_ordered, '|') AS texts, best FROM (SELECT source, array_sort(array_agg(concat(lang, ':', substr(text, 1, 12)))) AS array_agg_ordered, min_by(doc_id, n_chars * 1000000 + doc_id) AS best FROM documents WHERE text IS NOT NULL GROUP BY source)""", DOCS)
+both("a8_group_texts", """SELECT source, $JOIN(array_agg_ordered, '|') AS texts, best FROM (SELECT source, array_sort(array_agg(concat(lang, ':', text))) AS array_agg_ordered, min_by(doc_id, n_chars * 1000000 + doc_id) AS best FROM documents WHERE text IS NOT NULL GROUP BY source)""", DOCS)
 both("a9_arg_max", f"WITH {CARDS} SELECT author, max_by(model_id, likes * 1000000 + model_id) AS model_id, max(likes) AS likes FROM cards GROUP BY author", DOCS)
 both("a10_first_appearance", f"WITH {LONG} SELECT table_id, min(created) AS first_seen FROM links GROUP BY table_id", LINKED)
 both("a11_canonical", f"""WITH {LONG}, t AS (SELECT *, $SHA(CAST(table_id % 500 AS $STR)) AS hash FROM links) SELECT hash, min(priority * 10000000000 + model_id * 100 + ord) AS canonical, count(*) AS n FROM t GROUP BY hash""", LINKED)
@@ -91,13 +83,10 @@ both("a12_dup_matrix", f"""WITH {LONG}, s AS (SELECT DISTINCT table_id % 3000 AS
   SELECT a.source AS a, b.source AS b, count(*) AS n FROM s a JOIN s b ON a.hash = b.hash AND a.source <> b.source GROUP BY 1, 2 UNION ALL SELECT source, source, count(CASE WHEN n > 1 THEN 1 END) FROM c GROUP BY source""", LINKED)
 both("a13_contribution", f"WITH {LISTS} SELECT count(CASE WHEN hugging > 0 THEN 1 END) AS hugging, count(CASE WHEN github > 0 THEN 1 END) AS github, count(CASE WHEN html > 0 THEN 1 END) AS html, count(CASE WHEN llm > 0 THEN 1 END) AS llm FROM lists", LINKED)
 both("a14_duplication_histogram", "SELECT n, count(*) AS n_contents, min(example) AS example FROM (SELECT md5(text) AS h, count(*) AS n, min(doc_id) AS example FROM documents GROUP BY 1) WHERE n > 1 GROUP BY n", DOCS)
-both("a15_column_profile", f"""WITH {CARDS} SELECT 'card' AS col, sum(CASE WHEN card IS NULL THEN 1 ELSE 0 END) AS n_null, round(sum(CASE WHEN card IS NULL THEN 1 ELSE 0 END) * CAST(100 AS DOUBLE) / count(*), 4) AS pct_null, round(avg(length(card)), 6) AS avg_len, sum(length(card)) AS total FROM cards
-  UNION ALL SELECT 'author', sum(CASE WHEN author IS NULL THEN 1 ELSE 0 END), round(sum(CASE WHEN author IS NULL THEN 1 ELSE 0 END) * CAST(100 AS DOUBLE) / count(*), 4), round(avg(length(author)), 6), sum(length(author)) FROM cards""", DOCS)
 both("a16_size_metrics", f"""WITH {LONG}, t AS (SELECT source, table_id, count(*) AS n_rows, count(DISTINCT model_id) AS n_cols FROM links GROUP BY 1, 2), g AS (SELECT source, 'dup' AS stage, n_rows, n_cols FROM t UNION ALL SELECT source, 'dedup', n_rows, n_cols FROM t WHERE table_id % 7 <> 0 UNION ALL SELECT source, 'valid', n_rows, n_cols FROM t WHERE table_id % 3 = 0)
   SELECT source, stage, count(*) AS n_tables, CAST(sum(n_cols) AS BIGINT) AS n_cols, round(avg(n_rows), 6) AS avg_rows FROM g GROUP BY 1, 2""", LINKED)
 both("a17_intent_counts", """SELECT event_type AS intent, count(*) AS n, count(CASE WHEN value > 50 THEN 1 END) AS n_influential FROM events GROUP BY 1""", ("events",))
 both("a18_key_stats", "SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS n_keys, count(*) - count(DISTINCT o_custkey) AS n_dups FROM orders", ("orders",))
-both("a19_table_frequency", f"WITH {LONG}, f AS (SELECT table_id, count(*) AS n, count(DISTINCT model_id) AS models FROM links GROUP BY 1) SELECT sum(n) AS occurrences, count(*) AS n_tables, max(models) AS most_models, round(avg(n), 6) AS mean FROM f".replace("sum(n)", "CAST(sum(n) AS BIGINT)"), LINKED)
 both("a20_suffix_distribution", """WITH n AS (SELECT concat(CAST(p_partkey AS $STR), CASE p_partkey % 4 WHEN 0 THEN '_s' WHEN 1 THEN '_t' WHEN 2 THEN '_s_t' ELSE '' END) AS name FROM part)
   SELECT CASE WHEN name LIKE '%\\_s\\_t' ESCAPE '\\' THEN 's_t' ELSE 'x' END AS suffix, count(*) AS n FROM n GROUP BY 1""".replace("name LIKE '%\\_s\\_t' ESCAPE '\\' THEN 's_t'", "$LIKE(name, '_s_t$') THEN 's_t' WHEN $LIKE(name, '_s$') THEN 's' WHEN $LIKE(name, '_t$') THEN 't'"), ("part",))
 both("a21_degree_stats", """WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey <> l_partkey), s AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), d AS (SELECT src, count(*) AS deg FROM s GROUP BY src)
@@ -110,16 +99,13 @@ both("a26b_histogram", "SELECT CAST(floor(value / 10) AS BIGINT) AS bin, count(*
 both("a27_majority", """WITH v AS (SELECT user_id, event_type AS vote, count(*) AS n, min(event_id) AS seen FROM events GROUP BY 1, 2) SELECT user_id, vote, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, seen) AS r FROM v) WHERE r = 1""", ("events",))
 
 # -- windows
-both("w1_best_of_card", f"WITH {CARDS} SELECT model_id, likes FROM (SELECT model_id, likes, row_number() OVER (PARTITION BY card ORDER BY likes DESC, model_id) AS r FROM cards) WHERE r = 1", DOCS)
 both("w2_cumulative", "SELECT d, CAST(sum(n) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS total FROM (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1)", ("events",))
 both("w3_latest_version", "SELECT pure, version FROM (SELECT l_orderkey AS pure, l_linenumber AS version, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) AS r FROM lineitem) WHERE r = 1", ("lineitem",))
 both("w4_occurrence", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS occ FROM orders", ("orders",))
 both("w5_keep_first_last", "SELECT o_custkey, min(o_orderkey) AS first, max(o_orderkey) AS last FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS z FROM orders) WHERE a = 1 OR z = 1 GROUP BY o_custkey", ("orders",))
 both("w6_renumber", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem WHERE l_quantity > 25", ("lineitem",))
 both("w7_order_in_directory", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY CAST(doc_id AS $STR)) - 1 AS ord FROM documents", DOCS)
-both("w8_ecdf", "SELECT event_id, round((row_number() OVER (ORDER BY value, event_id) - 1) / (CAST((SELECT count(*) FROM events) AS DOUBLE) - 1), 9) AS ecdf FROM events", ("events",))
-both("w9_rank_frequency", f"WITH {LONG} SELECT table_id, n, row_number() OVER (ORDER BY n DESC, table_id) AS rank FROM (SELECT table_id, count(*) AS n FROM links GROUP BY 1)", LINKED)
-both("w10_carry_forward", """WITH a AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders WHERE o_orderkey % 50 = 0 GROUP BY 1), b AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders WHERE o_orderkey % 70 = 1 GROUP BY 1),
+both("w10_carry_forward", """WITH a AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1),
   ca AS (SELECT d, CAST(sum(n) OVER (ORDER BY d) AS BIGINT) AS t FROM a), cb AS (SELECT d, CAST(sum(n) OVER (ORDER BY d) AS BIGINT) AS t FROM b), m AS (SELECT coalesce(ca.d, cb.d) AS d, ca.t AS ta, cb.t AS tb FROM ca FULL OUTER JOIN cb ON ca.d = cb.d)
   SELECT d, coalesce(max(ta) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS n_tables, coalesce(max(tb) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS n_models FROM m""", ("orders",))
 

@@ -6,10 +6,13 @@ import csv
 import io
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnlake.functions.tables import cleaned
+
 CITATIONS = "citationid LONG, citingcorpusid LONG, citedcorpusid LONG, isinfluential BOOLEAN, contexts ARRAY<STRING>, intents ARRAY<ARRAY<STRING>>"
 PREFIXES = {"modelcard": "train-*.parquet", "datasetcard": "datasetcard-train-*.parquet"}
 
@@ -40,19 +43,23 @@ def scan_snapshot(spark: SparkSession, root: str, tag: str, kind: str = "modelca
     return (df.select(*columns) if columns else df).withColumn("tag", F.lit(tag))
 
 
-def parse_csv(raw: bytes) -> list[list[str | None]]:
-    """Rows of a CSV file of unknown encoding and delimiter; without any, one column of lines.
-
-    The delimiter is the one that divides the first lines most evenly. Empty fields are null.
-    """
-    text = None
-    for encoding in ("utf-8-sig", "latin-1", "cp1252"):
+def decoded(raw: bytes) -> str:
+    """UTF-8; else what the bytes 80 to 9F say: text of cp1252 where it defines them all, else Latin-1."""
+    for encoding in ("utf-8-sig", "cp1252"):
         try:
-            text = raw.decode(encoding)
-            break
+            return raw.decode(encoding)
         except UnicodeDecodeError:
             continue
-    if not text or not text.strip():
+    return raw.decode("latin-1")
+
+
+def parse_csv(raw: bytes, blank: str | None = None) -> list[list[str | None]]:
+    """Rows of a CSV file of unknown encoding and delimiter; without any, one column of lines.
+
+    The delimiter is the one that divides the first lines most evenly. Empty fields become ``blank``.
+    """
+    text = decoded(raw)
+    if not text.strip():
         return []
     head = [x for x in text.splitlines()[:20] if x.strip()]
     best, width = None, 1
@@ -65,10 +72,10 @@ def parse_csv(raw: bytes) -> list[list[str | None]]:
     if best is None:
         return [["line"], *[[x] for x in text.splitlines() if x]]
     rows = [r for r in csv.reader(io.StringIO(text), delimiter=best) if r]
-    return [[c if c != "" else None for c in r] for r in rows if len(r) <= len(rows[0])]
+    return [[c if c != "" else blank for c in r] for r in rows if len(r) <= len(rows[0])]
 
 
-def scan_csv_tables(spark: SparkSession, paths: str | list[str], most_bytes: int | None = None) -> DataFrame:
+def scan_csv_tables(spark: SparkSession, paths: str | list[str], most_bytes: int | None = None, blank: str | None = None) -> DataFrame:
     """(table_id, header, rows, error) of many small CSV files, read as bytes and parsed a batch at a time."""
     files = spark.read.format("binaryFile").load(paths)
     if most_bytes is not None:
@@ -79,7 +86,7 @@ def scan_csv_tables(spark: SparkSession, paths: str | list[str], most_bytes: int
             out = []
             for path, raw in zip(df["path"], df["content"], strict=True):
                 try:
-                    rows = parse_csv(raw)
+                    rows = parse_csv(raw, blank)
                     out.append((path, rows[0] if rows else None, rows[1:], None if rows else "empty"))
                 except csv.Error as e:
                     out.append((path, None, [], str(e)))
@@ -88,6 +95,70 @@ def scan_csv_tables(spark: SparkSession, paths: str | list[str], most_bytes: int
     return files.select("path", "content").mapInPandas(run, "table_id string, header array<string>, rows array<array<string>>, error string")
 
 
+def scan_csv_display(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """CSV tables as they stand: every cell is text, words like NA and empty cells stay what they are."""
+    return scan_csv_tables(spark, paths, blank="")
+
+
+def scan_csv_analysis(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """CSV tables as text without blank rows and columns; the header loses the blank columns too."""
+    whole = F.concat(F.array("header"), "rows")
+    return scan_csv_display(spark, paths).filter("header IS NOT NULL").withColumn("whole", cleaned(whole)).select("table_id", F.get("whole", F.lit(0)).alias("header"), F.slice("whole", F.lit(2), F.greatest(F.size("whole") - 1, F.lit(0))).alias("rows"), "error")
+
+
+def _npz(paths: str | list[str], spark: SparkSession, parse: Callable, schema: str) -> DataFrame:
+    """Rows of .npz files; a file is read by one task and handed on in pieces."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for raw in df["content"]:
+                with np.load(io.BytesIO(raw), allow_pickle=False) as found:
+                    yield from parse(found)
+
+    return spark.read.format("binaryFile").load(paths).select("content").mapInPandas(run, schema)
+
+
+PIECE = 50_000
+
+
+def scan_embeddings(spark: SparkSession, paths: str | list[str], ids: str = "ids", vectors: str = "embeddings") -> DataFrame:
+    """(id, embedding) of .npz files that hold an array of ids and one of vectors."""
+
+    def parse(found) -> Iterator[pd.DataFrame]:
+        names, rows = found[ids], found[vectors]
+        if len(names) != len(rows):
+            raise ValueError(f"{len(names)} ids and {len(rows)} vectors")
+        for i in range(0, len(names), PIECE):
+            yield pd.DataFrame({"id": [str(x) for x in names[i : i + PIECE]], "embedding": list(rows[i : i + PIECE].astype(np.float32))})
+
+    return _npz(paths, spark, parse, "id string, embedding array<float>")
+
+
+def scan_sparse_graph(spark: SparkSession, paths: str | list[str], names: DataFrame | None = None) -> DataFrame:
+    """(src, dst, weight) of matrices in compressed rows (data, indices, indptr); names (place, name) replace numbers."""
+
+    def parse(found) -> Iterator[pd.DataFrame]:
+        data, columns, ends = found["data"], found["indices"], found["indptr"]
+        for i in range(0, len(columns), PIECE):
+            at = np.arange(i, min(i + PIECE, len(columns)))
+            yield pd.DataFrame({"src": np.searchsorted(ends, at, side="right") - 1, "dst": columns[at].astype(np.int64), "weight": data[at].astype(np.float64)})
+
+    edges = _npz(paths, spark, parse, "src long, dst long, weight double")
+    if names is None:
+        return edges
+    side = lambda c: names.select(F.col("place").alias(c), F.col("name").alias(f"{c}_name"))
+    return edges.join(side("src"), "src").join(side("dst"), "dst").select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"), "weight")
+
+
+def scan_table(spark: SparkSession, name: str, path: str | None = None) -> DataFrame:
+    """A table of the catalog; on a miss it is made from a Parquet data set."""
+    if not spark.catalog.tableExists(name):
+        if path is None:
+            raise ValueError(f"no table {name}")
+        spark.read.parquet(path).write.saveAsTable(name)
+    return spark.table(name)
+
+
 def scan_csv(spark: SparkSession, paths: str | list[str], separator: str = ",") -> DataFrame:
     """CSV files with a header as text columns, with the file's name."""
     return spark.read.csv(paths, header=True, sep=separator, inferSchema=False, mode="PERMISSIVE").withColumn("file", F.col("_metadata.file_name"))
@@ -138,6 +209,21 @@ def holding(catalog: DataFrame, *attributes: str) -> DataFrame:
     return catalog.filter(F.forall(F.array(*[F.lit(a) for a in attributes]), lambda a: F.array_contains(names, a)))
 
 
+def join_path(catalog: DataFrame, start: str, goal: str, most: int = 4) -> list[list[str]]:
+    """The shortest ways from one attribute to another: data sets, each sharing an attribute with the next.
+
+    A data set that holds both is a way of one. The catalog is one row a data set and is read to the driver.
+    """
+    columns = {r["name"]: {c.partition(":")[0] for c in r["columns"]} for r in catalog.collect()}
+    ways = [[n] for n in sorted(columns) if start in columns[n]]
+    for _ in range(most):
+        done = [w for w in ways if goal in columns[w[-1]]]
+        if done:
+            return done
+        ways = [[*w, n] for w in ways for n in sorted(columns) if n not in w and columns[w[-1]] & columns[n]]
+    return []
+
+
 def fetched(wanted: DataFrame, cache: DataFrame, fetch: Callable[[str], str | None], key: str = "url") -> DataFrame:
     """The cache with what it lacked, got by an injected function; the function alone meets a network."""
     missing = wanted.select(key).distinct().join(cache.select(key), key, "left_anti")

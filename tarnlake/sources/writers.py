@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from tarnlake.operators.order import numbered
+
 
 def without_null_lists(df: DataFrame) -> DataFrame:
     """Null lists made empty, as every reader of the lake expects."""
@@ -83,7 +85,7 @@ def normalized_layout(tables: dict[str, DataFrame], key: str = "modelId") -> tup
     keys = None
     for df in tables.values():
         keys = df.select(key) if keys is None else keys.union(df.select(key))
-    dimension = keys.distinct().withColumn("model_key", F.row_number().over(Window.orderBy(key)) - 1)
+    dimension = numbered(keys.distinct(), [F.col(key)], "model_key").withColumn("model_key", F.col("model_key") - 1)
     return dimension, {n: df.join(dimension, key).drop(key) for n, df in tables.items()}
 
 
