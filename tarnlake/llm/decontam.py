@@ -28,8 +28,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.llm.ids import id_columns, ids_of
+
 SIMILARITY = 0.8
-BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16 << 20
+BLOCK_ITEMS, BLOCK_CHARS = 4_000, 2 << 20
 #: Independent walks, samples of each, places in a sample: 64 keys a window.
 WALKS, SAMPLES, PLACES = 16, 4, 5
 STRETCH = 3
@@ -104,18 +106,18 @@ class Items:
         for n in sorted({len(x) for x in self.items}):
             self.places[n] = np.random.default_rng(n).integers(0, STRETCH * n, (WALKS, SAMPLES, PLACES))
             own = [k for k, x in enumerate(self.items) if len(x) == n]
-            keys = self.embed(np.concatenate([self.items[k] for k in own]), np.arange(len(own)) * n, n)
+            keys = self.embed(np.concatenate([self.items[k] for k in own]), np.arange(len(own)) * n, n, n)
             order = np.argsort(keys.ravel(), kind="stable")
             self.keys[n] = keys.ravel()[order]
             self.owners[n] = np.repeat(np.array(own), keys.shape[1])[order]
 
-    def embed(self, words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-        """LSH keys (windows, walks * samples) of the windows of n words at the starts."""
+    def embed(self, words: np.ndarray, starts: np.ndarray, n: int, size: np.ndarray | int) -> np.ndarray:
+        """LSH keys (windows, walks * samples) of the windows of n words at the starts, padded after ``size`` words."""
         steps = STRETCH * n
         seen = np.empty((steps, WALKS, len(starts)), dtype=np.uint32)
         at = np.zeros((WALKS, len(starts)), dtype=np.int64)
         for j in range(steps):
-            symbol = np.where(at < n, words[starts + np.minimum(at, n - 1)], PAD)
+            symbol = np.where(at < size, words[starts + np.minimum(at, size - 1)], PAD)
             seen[j] = symbol
             at += _mix(symbol ^ (self.salts + np.uint32((j * 0x9E3779B9) & 0xFFFFFFFF))[:, None]) & np.uint32(1)
         key = np.broadcast_to(np.arange(1, WALKS * SAMPLES + 1, dtype=np.uint64).reshape(WALKS, SAMPLES, 1), (WALKS, SAMPLES, len(starts))).copy()
@@ -152,10 +154,10 @@ class Items:
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for n, parts in wanted.items():
             starts = np.unique(np.concatenate(parts))
-            padded = np.concatenate([words, np.full(n, 0, np.uint32)])
             for a in range(0, len(starts), WINDOWS):
                 own = starts[a : a + WINDOWS]
-                keys = self.embed(padded, own, n)
+                # a text shorter than the item is padded, whatever follows it in the batch
+                keys = self.embed(words, own, n, np.minimum(n, ends[owner[own]] - own))
                 left = np.searchsorted(self.keys[n], keys, "left")
                 count = np.searchsorted(self.keys[n], keys, "right") - left
                 rows, cols = np.nonzero(count)
@@ -234,14 +236,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             items = held.value
             for df in batches:
-                names = df["doc_id"].astype("Int64")
                 found = items.leaks(df["text"].tolist())
                 yield pd.DataFrame({
-                    "doc_id": names.iloc[[f[0] for f in found]].reset_index(drop=True), "item_id": [items.names[f[1]] for f in found], "distance": [f[2] for f in found],
+                    "doc_id": ids_of(df, np.array([f[0] for f in found], dtype=np.intp)), "item_id": [items.names[f[1]] for f in found], "distance": [f[2] for f in found],
                     "item_words": [len(items.items[f[1]]) for f in found], "end_word": [f[3] for f in found],
                 }, columns=["doc_id", "item_id", "distance", "item_words", "end_word"])
 
-        found = docs.select("doc_id", "text").mapInPandas(run, LEAKS)
+        found = docs.select(*id_columns(), "text").mapInPandas(run, LEAKS)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], LEAKS) if out is None else out
 

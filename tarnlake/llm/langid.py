@@ -25,13 +25,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.llm.ids import id_columns, ids_of
+
 MAX_ROWS = 20_000
 SIZES = (1, 2, 3, 4)
 BUCKETS = 1 << 14
 SMOOTH = 0.5
 #: Characters that are scored at a time; longer texts are scored in pieces.
 PIECE = 1 << 19
-LETTER = re.compile(r"[^\W\d_]")
 SPACE = np.uint32(32)
 
 
@@ -97,7 +98,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
-        known = [i for i, t in enumerate(texts) if t and self.langs and LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if t and self.langs and any(map(str.isalpha, t))]
         if known:
             z = self.sums([texts[i] for i in known])
             best = z.argmax(1)
@@ -152,6 +153,6 @@ def langid_report(docs: DataFrame) -> DataFrame:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             names, scores = held.value.predict(df["text"].tolist())
-            yield pd.DataFrame({"doc_id": df["doc_id"], "lang_pred": names, "score": scores})
+            yield pd.DataFrame({"doc_id": ids_of(df), "lang_pred": names, "score": scores})
 
-    return held_out(docs.select("doc_id", "text").mapInPandas(score, "doc_id long, lang_pred string, score double")).select("doc_id", "held_out", "lang_pred", "score")
+    return held_out(docs.select(*id_columns(), "text").mapInPandas(score, "doc_id long, lang_pred string, score double")).select("doc_id", "held_out", "lang_pred", "score")

@@ -70,15 +70,15 @@ def schedule_time(share: Column, slope: Column) -> Column:
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row a document: keys, size, source_size, target, passes, taken, share, slope.
 
-    A source is laid out in the order of md5(doc_id). Whole passes come first; the rest of the
+    A source is laid out in the order of a hash of id and text, so that rows of one id are spread too. Whole passes come first; the rest of the
     target takes documents in that order until its end falls before a document's middle. The
     running sums are found in buckets of the hash, so no source has to meet in one task.
     """
-    slim = stored(docs.select(*keys, "source", word_count(F.col("text")).alias("size"), F.md5(F.col("doc_id").cast("string")).alias("h")), "mix")
+    slim = stored(docs.select(*keys, "source", word_count(F.col("text")).alias("size"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit(""))))).alias("h")), "mix")
     rows = slim.count()
     digits = max(1, math.ceil(math.log(max(1, rows / BUCKET_ROWS), 16)) + 1)
     # the null source joins under a name that no source has
-    slim = slim.select("*", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("mix_source"), F.substring(F.coalesce("h", F.lit("")), 1, digits).alias("mix_bucket"))
+    slim = slim.select("*", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("mix_source"), F.substring("h", 1, digits).alias("mix_bucket"))
     info = targets(slim.select("source", "size"), weights, cap).select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("mix_source"), "rank", "source_size", "target", "slope")
     before = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = slim.groupBy("mix_source", "mix_bucket").agg(F.sum("size").alias("n")).select("mix_source", "mix_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).join(info, "mix_source")
@@ -128,7 +128,7 @@ def mix_sql(docs: str = "documents", columns: str = "doc_id, size, source_size,
     """The same plan as one SQL statement."""
     weights = "[" + ", ".join(f"{w}.0::double" for w in WEIGHTS) + "]"
     return f"""
-WITH mix_slim AS (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint AS size, md5(doc_id::varchar) AS h FROM {docs}),
+WITH mix_slim AS (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint AS size, md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) AS h FROM {docs}),
 mix_ranked AS (SELECT source, sum(size)::bigint AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM mix_slim GROUP BY source),
 mix_caps AS (SELECT *, {weights}[((rank - 1) % {len(WEIGHTS)} + 1)::int] AS weight, (source_size * {CAP})::double AS cap FROM mix_ranked),
 mix_levels AS (SELECT *, ((SELECT sum(source_size)::double FROM mix_caps) - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))

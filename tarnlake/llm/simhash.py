@@ -2,11 +2,12 @@
 
 A table holds each distinct fingerprint's Hamming distances to reference fingerprints. By the
 triangle inequality two fingerprints within k bits of each other differ by k at most in every
-coordinate. One family of references is an origin and the origin with one bit turned; the difference
-of two such coordinates tells one bit, so coordinates can be gathered into bands. Of more than k
-bands, a close pair agrees on all coordinates of at least one band (of ``chosen`` bands, with more
-of them), and so meets in a cell of that band. Inside a cell, pairs whose largest coordinate
-difference to the other, random references is over k are discarded; the survivors are verified.
+coordinate. Distances to random references lie within a few bits of 32 and so can't block by
+themselves; the blocking is banding. One family of references is an origin and the origin with one
+bit turned: the difference of two such coordinates tells one bit of a fingerprint, and bands of
+these bits are the cells. Of more than k bands, a close pair agrees on at least one (on several,
+with more of them), and so meets in a cell. Inside a cell, pairs whose largest coordinate difference
+to the other, random references is over k are discarded; the survivors are verified.
 
 Cells are compared in tasks of bounded size: a cell over ``CELL_ROWS`` is dealt into chunks, and
 each pair of chunks is one task. A task hands on a spanning forest of its links, not its pairs.
@@ -27,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnlake.llm.ids import id_columns, ids_of
 from tarnlake.operators.components import star_forest
 from tarnlake.session import stored
 
@@ -59,15 +61,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the carried columns and fingerprint (as a signed long) of every row."""
-    names = ["doc_id", *carried]
+    """doc_id, the carried columns (longs without nulls) and fingerprint (as a signed long) of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             own = np.array([fingerprint(t) for t in df["text"]], dtype=np.uint64).view(np.int64)
-            yield df[names].assign(fp=own)
+            yield pd.DataFrame({"doc_id": ids_of(df), **{c: df[c] for c in carried}, "fp": own})
 
-    return docs.select(*names, "text").mapInPandas(run, ", ".join(f"{n} {docs.schema[n].dataType.simpleString()}" for n in names) + ", fp long")
+    return docs.select(*id_columns(), *carried, "text").mapInPandas(run, "doc_id long, " + "".join(f"{n} {docs.schema[n].dataType.simpleString()}, " for n in carried) + "fp long")
 
 
 def references() -> tuple[np.ndarray, np.ndarray]:

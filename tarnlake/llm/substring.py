@@ -7,8 +7,11 @@
 2. Passages. Runs with the same words are one passage with a count; one of its places is kept, and
    its words are read there.
 3. Automata. Passages are dealt by anchor, and so in bounded shards all windows that could be equal
-   are together. A shard confirms the windows that recur, word for word, compiles them into an
-   Aho-Corasick automaton over word numbers and streams its passages through it.
+   are together. An anchor of more than ``CROWD`` different passages is dealt on by the hashes of
+   their windows: each part holds the passages with a window of its own, and looks at these windows.
+   A shard confirms the windows that recur, word for word, compiles stretches of them into an
+   Aho-Corasick automaton over word numbers and streams all documents' passages through it, equal
+   ones once.
 4. Documents. What was found goes from the passages to all their places, and each document is read
    once more to drop the covered words.
 
@@ -33,13 +36,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnlake.session import stored
+from tarnlake.llm.ids import ID, NONE, id_columns, ids_of
+from tarnlake.session import discard, stored
 
 WINDOW, GRAM = 35, 8
 #: Windows in a run; longer runs, as of a word said over and over, are cut.
 RUN = 256
 #: Words of passages in a shard's automaton.
 SHARD_WORDS = 1_500_000
+#: Different passages of an anchor from which on it is dealt on, and that a part holds about.
+CROWD = 512
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -100,8 +106,8 @@ def runs_of(words: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def _key(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the key of a row; rows of one key have one text."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("h", F.xxhash64("text"))
+    """The id, text and key of a row; rows of one key have one text."""
+    return docs.select(*id_columns(), F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.col(ID)).withColumn("h", F.xxhash64("text"))
 
 
 def _runs(keyed: DataFrame) -> DataFrame:
@@ -117,9 +123,15 @@ def _runs(keyed: DataFrame) -> DataFrame:
     return keyed.select("k", "h", "text").mapInPandas(run, "anchor long, passage long, k long, h long, first int, n int, again boolean")
 
 
-def covered(passages: list[tuple[int, int, list[bytes]]]) -> list[list[tuple[int, int]]]:
+def part_of(window: list[bytes], parts: int) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(window), 1) % parts
+
+
+def covered(passages: list[tuple[tuple, int, list[bytes]]]) -> list[list[tuple[int, int]]]:
     """For passages (anchor, count, words) of whole anchors, the spans of words that recurring windows cover.
 
+    An anchor is (hash, part, parts); of several parts, only windows of that part are looked at.
+
     A pattern is a stretch of a passage in which every window recurs, as long as can be: a passage
     of several places as a whole, else what windows counted word for word leave. Whatever recurs in
     a passage lies in a stretch of its own, so the automaton of all stretches finds every occurrence.
@@ -130,13 +142,16 @@ def covered(passages: list[tuple[int, int, list[bytes]]]) -> list[list[tuple[int
     single = {a for a, n, _ in passages if n == 1}
     windows: Counter = Counter()
     packed: list[list[bytes] | None] = []
-    for (anchor, count, _), ids in zip(passages, coded, strict=True):
+    for (anchor, count, words), ids in zip(passages, coded, strict=True):
         if anchor in single and (alone[anchor] > 1 or count == 1):
             raw = np.array(ids, dtype=np.int32).tobytes()
             own = [raw[4 * i : 4 * (i + WINDOW)] for i in range(len(ids) - WINDOW + 1)]
+            if anchor[2] > 1:
+                own = [w if part_of(words[i : i + WINDOW], anchor[2]) == anchor[1] else b"" for i, w in enumerate(own)]
             packed.append(own)
             for w in own:
-                windows[w] += count
+                if w:
+                    windows[w] += count
         else:
             packed.append(None)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
@@ -167,7 +182,7 @@ def covered(passages: list[tuple[int, int, list[bytes]]]) -> list[list[tuple[int
 
 
 def _located(passages: DataFrame) -> DataFrame:
-    """(anchor, passage, spans) of passages (anchor, passage, count, words), where there are spans."""
+    """(anchor, passage, spans) of passages (anchor, part, parts, passage, count, words), where there are spans."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
@@ -175,11 +190,12 @@ def _located(passages: DataFrame) -> DataFrame:
 
         def shard(rows: list[tuple]) -> pd.DataFrame:
             spans = covered([(r[0], r[2], r[3].split()) for r in rows])
-            found = [(r[0], r[1], [x for s in own for x in s]) for r, own in zip(rows, spans, strict=True) if own]
+            found = [(r[0][0], r[1], [x for s in own for x in s]) for r, own in zip(rows, spans, strict=True) if own]
             return pd.DataFrame(found, columns=["anchor", "passage", "spans"])
 
         for df in batches:
-            for r in zip(df["anchor"], df["passage"], df["count"], df["words"], strict=True):
+            anchors = zip(df["anchor"], df["part"], df["parts"], strict=True)
+            for r in zip(anchors, df["passage"], df["count"], df["words"], strict=True):
                 if held and r[:2] == held[-1][:2]:
                     continue  # read from rows of one key, which are alike
                 if size >= SHARD_WORDS and r[0] != held[-1][0]:
@@ -190,11 +206,11 @@ def _located(passages: DataFrame) -> DataFrame:
         if held:
             yield shard(held)
 
-    return passages.select("anchor", "passage", "count", "words").repartition("anchor").sortWithinPartitions("anchor", "passage").mapInPandas(run, "anchor long, passage long, spans array<int>")
+    return passages.select("anchor", "part", "parts", "passage", "count", "words").repartition("anchor", "part").sortWithinPartitions("anchor", "part", "passage").mapInPandas(run, "anchor long, passage long, spans array<int>")
 
 
 def _read_passages(rows: DataFrame) -> DataFrame:
-    """The words of the passages whose kept place is in a row: (k, h, text, places)."""
+    """The words of the passages whose kept place is in a row, once for each part: (text, places)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -202,22 +218,30 @@ def _read_passages(rows: DataFrame) -> DataFrame:
             for text, places in zip(df["text"], df["places"], strict=True):
                 words = words_of(text)
                 for p in places:
-                    out.append((p["anchor"], p["passage"], p["count"], b" ".join(words[p["first"] : p["first"] + p["n"] + WINDOW - 1])))
-            yield pd.DataFrame(out, columns=["anchor", "passage", "count", "words"])
+                    own = words[p["first"] : p["first"] + p["n"] + WINDOW - 1]
+                    parts = {0} if p["parts"] == 1 else {part_of(own[i : i + WINDOW], p["parts"]) for i in range(p["n"])}
+                    for part in sorted(parts):
+                        out.append((p["anchor"], part, p["parts"], p["passage"], p["count"], b" ".join(own)))
+            yield pd.DataFrame(out, columns=["anchor", "part", "parts", "passage", "count", "words"])
 
-    return rows.mapInPandas(run, "anchor long, passage long, count long, words binary")
+    return rows.mapInPandas(run, "anchor long, part int, parts int, passage long, count long, words binary")
 
 
 def recurring_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(keyed documents, spans of removed words by key)."""
     keyed = _key(docs)
-    again = _runs(keyed).groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.max("again").alias("again")).filter("c > 1 OR again").select("anchor")
-    runs = stored(_runs(keyed).join(again, "anchor"), "substring-runs")
+    every = stored(_runs(keyed), "substring-runs")
+    again = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.max("again").alias("again")).filter("c > 1 OR again").select("anchor")
+    runs = stored(every.join(again, "anchor"), "substring-again")
+    discard(every)
     place = F.struct("k", "h", "first", "n")
-    passages = runs.groupBy("anchor", "passage").agg(F.count(F.lit(1)).alias("count"), F.min(place).alias("at"))
-    by_row = passages.groupBy(F.col("at.k").alias("k"), F.col("at.h").alias("h")).agg(F.collect_list(F.struct("anchor", "passage", "count", F.col("at.first").alias("first"), F.col("at.n").alias("n"))).alias("places"))
+    passages = stored(runs.groupBy("anchor", "passage").agg(F.count(F.lit(1)).alias("count"), F.min(place).alias("at")), "substring-passages")
+    crowds = passages.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("parts")).filter("parts > 1")
+    parted = passages.join(crowds, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    by_row = parted.groupBy(F.col("at.k").alias("k"), F.col("at.h").alias("h")).agg(F.collect_list(F.struct("anchor", "parts", "passage", "count", F.col("at.first").alias("first"), F.col("at.n").alias("n"))).alias("places"))
     read = _read_passages(keyed.select("k", "h", "text").join(by_row, ["k", "h"]).select("text", "places"))
     spans = stored(_located(read), "substring-spans")
+    discard(passages)
     found = runs.select("anchor", "passage", "k", "h", "first").join(spans, ["anchor", "passage"])
     moved = F.transform("spans", lambda x: x + F.col("first"))
     return keyed, found.select("k", "h", moved.alias("spans")).groupBy("k", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -239,14 +263,14 @@ def substring_report(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             out = []
-            for doc, text, spans in zip(df["doc_id"].astype("Int64"), df["text"], df["spans"], strict=True):
+            for text, spans in zip(df["text"], df["spans"], strict=True):
                 words = words_of(text)
                 kept = kept_words(words, spans)
-                out.append((doc, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"]).astype({"doc_id": "Int64"})
+                out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+            yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256"]).assign(doc_id=ids_of(df))
 
     keyed, spans = recurring_spans(docs)
-    return keyed.join(spans, ["k", "h"], "left").select("doc_id", "text", "spans").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return keyed.join(spans, ["k", "h"], "left").select(ID, NONE, "text", "spans").mapInPandas(run, "n_words long, n_removed long, kept_sha256 string, doc_id long").select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -255,7 +279,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             texts = [b" ".join(kept_words(words_of(t), s)).decode("utf-8", "surrogatepass") for t, s in zip(df["text"], df["spans"], strict=True)]
-            yield pd.DataFrame({"doc_id": df["doc_id"].astype("Int64"), "text": texts})
+            yield pd.DataFrame({"doc_id": ids_of(df), "text": texts})
 
     keyed, spans = recurring_spans(docs)
-    return keyed.join(spans, ["k", "h"], "left").select("doc_id", "text", "spans").mapInPandas(run, "doc_id long, text string")
+    return keyed.join(spans, ["k", "h"], "left").select(ID, NONE, "text", "spans").mapInPandas(run, "doc_id long, text string")

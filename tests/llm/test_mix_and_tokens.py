@@ -84,6 +84,50 @@ def test_tokens(spark, texts, tmp_path):
     assert tokens.token_report(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_encoder_like_the_library():
+    """Random strings over every character that the word patterns admit, and blanks of all kinds."""
+    import random
+
+    rnd = random.Random(6)
+    enc = tokens.Encoder()
+    admitted = [chr(c) for c in range(0x250) if not tokens.UNUSUAL.search(chr(c))]
+    common = [" ", " ", " ", "\n", "\t", "\r", "'s", "'re", "a", "B", "é", "1", "22", ".", "-", "_", "word", "Straße"]
+    for i in range(20_000):
+        text = "".join(rnd.choice(admitted if rnd.random() < 0.4 else common) for _ in range(rnd.randint(0, 14)))
+        if i % 50 == 0:
+            text += rnd.choice(["日本", "<|endoftext|>", "\x1d x", "½", "  "])
+        want = [*enc.tokenizer.encode(text, add_special_tokens=False).ids, tokens.END]
+        assert enc.ids(text).tolist() == want, repr(text)
+
+
+def test_remembered_words_are_bounded():
+    enc = tokens.Encoder()
+    enc.words.bound = enc.pieces.bound = 10
+    text = " ".join(f"w{i % 37}x" for i in range(500))
+    assert enc.ids(text).tolist() == [*enc.tokenizer.encode(text, add_special_tokens=False).ids, tokens.END]
+    assert len(enc.pieces) <= 10 and len(enc.pieces.older) <= 10
+
+
+def test_tokens_of_long_texts(spark):
+    """A text of several blocks stays one document."""
+    text = "one two three, four\n" * 150_000
+    rows = {r.doc_id: r for r in tokens.token_report(frame(spark, [text, "x"], ids=[1, 2])).collect()}
+    enc = tokens.Encoder()
+    own = enc.ids(text)
+    assert (rows[1].start, rows[1].n_tokens, rows[1].ids_crc32) == (0, len(own), zlib.crc32(own.astype("<u4").tobytes())) and rows[2].start == len(own)
+
+
+def test_no_pair_is_left_that_recurs():
+    rng = np.random.default_rng(4)
+    ids = rng.zipf(1.3, 60_000).clip(max=5000).astype(np.uint32)
+    rules, symbols, ends = tokens.compress(ids, np.array([len(ids)]))
+    pairs = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
+    values, counts = np.unique(pairs, return_counts=True)
+    # of a symbol that follows itself, neighbouring places overlap
+    alone = (values >> np.uint64(32)) != (values & np.uint64(0xFFFFFFFF))
+    assert len(rules) > 100 and counts[alone].max() < 2 * tokens.LEAST
+
+
 def test_grammar_round_trip():
     rng = np.random.default_rng(3)
     for size, kinds in ((1, 3), (50, 2), (20_000, 5), (60_000, 400)):
