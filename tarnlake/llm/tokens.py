@@ -1,10 +1,10 @@
 """Token ids as files: byte-level BPE, then Re-Pair grammar compression of each block.
 
-Documents are range-partitioned and sorted by id, so that blocks of whole documents follow one
-another in ascending order. In a block, frequent pairs of symbols are replaced by nonterminals,
-round after round: each round counts all adjacent pairs, takes the most frequent ones and replaces
-their occurrences where they don't overlap, the more frequent pair first. A pair never spans two
-documents.
+Documents are range-partitioned and sorted by id and a hash of the text, so that blocks of whole
+documents follow one another in ascending order of id. In a block, frequent pairs of symbols are
+replaced by nonterminals, round after round, until no pair occurs ``LEAST`` times: each round counts
+the adjacent pairs, takes the most frequent ones and replaces their occurrences where they don't
+overlap, the more frequent pair first. A pair never spans two documents.
 
 File format: a Parquet data set, one row a block, written and committed by Spark's writer and so
 readable by any executor. ``part`` and ``seq`` order the blocks, ``before`` is the number of ids in
@@ -21,7 +21,6 @@ often as they come; rows of one id are in the order of a hash of their text; an
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -32,18 +31,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.session import shared_dir
+from tarnlake.llm.ids import ID, NONE, id_columns
+from tarnlake.session import own_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 BLOCK_IDS = 1 << 18
-ROUNDS, RULES_A_ROUND, LEAST = 4, 2048, 8
+#: Pairs replaced in a round, and occurrences from which a pair is worth a rule.
+RULES_A_ROUND, LEAST = 2048, 8
 FIRST_RULE = 1 << 16
 MAGIC = b"RPG1"
 
-#: Words of texts whose characters are all of the set below are split by this pattern, which there
-#: equals the vocabulary's own pre-tokenizer; other texts go to the library whole.
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Texts whose characters are all of the sets below are split by these patterns, which there equal the
+#: vocabulary's own pre-tokenizer; other texts go to the library whole.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+_SPLIT = r" ?[{0}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{0}]+|\s+(?!\S)|\s+"
+SPLIT_ASCII, SPLIT = re.compile(_SPLIT.format("A-Za-z")), re.compile(_SPLIT.format(LETTERS))
+UNUSUAL_ASCII = "\x1c\x1d\x1e\x1f\x7f"
 UNUSUAL = re.compile(r"[^\x00-\x1b\x20-\x7e\xa1\xa3-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 SPECIAL = "<|endoftext|>"
 
@@ -55,25 +59,56 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class Words(dict):
-    """Ids of words as bytes, found by the library's model; the last one or two times ``bound`` are kept."""
+class Remembered(dict):
+    """Ids as bytes by string; the last one or two times ``bound`` are kept."""
 
-    def __init__(self, tokenizer, bound: int = 200_000) -> None:
+    def __init__(self, bound: int) -> None:
         super().__init__()
-        self.model, self.letters, self.bound = tokenizer.model, _byte_letters(), bound
+        self.bound = bound
         self.older: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
+    def __missing__(self, key: str) -> bytes:
+        ids = self.older.get(key)
         if ids is None:
-            ids = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            ids = self.find(key)
         if len(self) >= self.bound:
             self.older = dict(self)
             self.clear()
-        self[word] = ids
+        self[key] = ids
         return ids
 
 
+class Words(Remembered):
+    """Words as the pre-tokenizer makes them, by the library's model."""
+
+    def __init__(self, tokenizer, bound: int = 150_000) -> None:
+        super().__init__(bound)
+        self.model, self.letters = tokenizer.model, _byte_letters()
+
+    def find(self, key: str) -> bytes:
+        plain = key.replace(" ", "Ġ") if key.isascii() and key.isprintable() else key.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
+
+
+class Pieces(Remembered):
+    """What stands between two single spaces, with the space before it."""
+
+    def __init__(self, words: Words, bound: int = 500_000) -> None:
+        super().__init__(bound)
+        self.words = words
+
+    def find(self, key: str) -> bytes:
+        parts = split_words(f" {key}")
+        if len(parts) == 1:
+            # remembered here, so not there too
+            return self.words.get(parts[0]) or self.words.find(parts[0])
+        return b"".join(map(self.words.__getitem__, parts))
+
+
+def split_words(text: str) -> list[str]:
+    return (SPLIT_ASCII if text.isascii() else SPLIT).findall(text)
+
+
 class Encoder:
     def __init__(self, name: str = VOCABULARY) -> None:
         import public_tokenizers
@@ -81,12 +116,20 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.words = Words(self.tokenizer)
+        self.pieces = Pieces(self.words)
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of a text with the end id."""
-        if SPECIAL in text or UNUSUAL.search(text):
+        plain = text.isascii()
+        odd = any(c in text for c in UNUSUAL_ASCII) if plain else UNUSUAL.search(text)
+        if odd or SPECIAL in text:
             return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END], dtype=np.uint32)
-        raw = b"".join(map(self.words.__getitem__, SPLIT.findall(text)))
+        if "  " in text:
+            raw = b"".join(map(self.words.__getitem__, split_words(text)))
+        else:
+            # a word begins at every single space, so pieces between spaces are split one by one
+            first, *rest = text.split(" ")
+            raw = b"".join([*map(self.words.__getitem__, split_words(first)), *map(self.pieces.__getitem__, rest)])
         return np.frombuffer(raw + bytes(4), dtype=np.uint32)
 
 
@@ -103,61 +146,77 @@ def encoder(name: str) -> Encoder:
 BINS = 1 << 16
 
 
-def _round(symbols: np.ndarray, last: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """One round: (pairs, symbols, last marks) with the most frequent pairs replaced.
+def _round(symbols: np.ndarray, last: np.ndarray, live: np.ndarray, first: int) -> tuple[np.ndarray, ...] | None:
+    """One round: (pairs, symbols, last marks, live marks) with the most frequent pairs replaced.
 
-    Pairs meet in bins of a hash; a bin stands for one of its pairs, whose count is exact. Another
+    Pairs meet in bins of a hash; a bin stands for one of its pairs, whose count is exact, and another
     pair of the bin waits for a later round. Where occurrences overlap, the more frequent goes first.
+    Places whose pair was counted under ``LEAST`` are no longer live: a count never grows again.
     """
-    left, right = symbols[:-1], symbols[1:]
-    bins = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B) + (right >> np.uint32(7)))) >> np.uint32(32 - BINS.bit_length() + 1)
+    at = np.flatnonzero(live[:-1] & ~last[:-1])
+    left, right = symbols[at], symbols[at + 1]
+    bins = (((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B) + (right >> np.uint32(7)))) >> np.uint32(32 - BINS.bit_length() + 1)).astype(np.intp)
     code = (left.astype(np.uint64) << np.uint64(32)) | right
     own = np.zeros(BINS, dtype=np.uint64)
     own[bins] = code
     same = own[bins] == code
-    same &= ~last[:-1]
     counts = np.bincount(bins[same], minlength=BINS)
     top = np.argpartition(counts, -RULES_A_ROUND)[-RULES_A_ROUND:]
     top = top[np.argsort(-counts[top], kind="stable")]
     top = top[counts[top] >= LEAST]
     if not len(top):
-        return None
+        # only pairs that a more frequent one's bin hid may be left
+        return None if same.all() else (np.zeros((0, 2), np.uint32), symbols, last, _marked(len(symbols), at[~same]))
     none = len(top)
-    rank = np.full(BINS, none, dtype=np.int16)
-    rank[top] = np.arange(len(top))
-    value = np.full(len(symbols) + 1, none, dtype=np.int16)
-    value[1:-1] = np.where(same, rank[bins], none)
-    mine = value[1:-1]
-    taken = np.flatnonzero((mine < value[:-2]) & (mine <= value[2:]))
+    rank = np.full(BINS, none, dtype=np.int32)
+    rank[top] = np.arange(none)
+    found = np.where(same, rank[bins], none)
+    chosen = np.flatnonzero(found < none)
+    place, value = at[chosen], found[chosen]
+    follows = place[1:] == place[:-1] + 1
+    before, after = np.full(len(place), none), np.full(len(place), none)
+    before[1:][follows] = value[:-1][follows]
+    after[:-1][follows] = value[1:][follows]
+    mine = np.flatnonzero((value < before) & (value <= after))
     # a symbol said over and over makes one pair at neighbouring places: every other one of them
-    again = np.flatnonzero((mine == value[:-2]) & (mine < none))
+    again = np.flatnonzero(value == before)
     if len(again):
         begins = np.flatnonzero(np.diff(again, prepend=-2) != 1)
         offset = np.arange(len(again)) - np.repeat(begins, np.diff(np.append(begins, len(again)))) + 1
-        again = again[(offset % 2 == 0) & (mine[again] <= value[again + 2])]
-        taken = np.sort(np.concatenate([taken, again]))
+        again = again[(offset % 2 == 0) & (value[again] <= after[again])]
+        mine = np.sort(np.concatenate([mine, again]))
+    taken = place[mine]
+    live = _marked(len(symbols), at[~same | (counts[bins] >= LEAST)])
+    live[taken] = True
+    live[np.maximum(taken - 1, 0)] = True
     keep = np.ones(len(symbols), dtype=bool)
     keep[taken + 1] = False
     symbols = symbols.copy()
-    symbols[taken] = mine[taken].astype(np.uint32) + np.uint32(first)
+    symbols[taken] = value[mine].astype(np.uint32) + np.uint32(first)
     last = last.copy()
     last[taken] = last[taken + 1]
     pairs = own[top]
-    return np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32), symbols[keep], last[keep]
+    return np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32), symbols[keep], last[keep], live[keep]
+
+
+def _marked(n: int, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(n, dtype=bool)
+    out[at] = True
+    return out
 
 
 def compress(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules as pairs, symbols, ends in symbols) of ids whose documents end before ``ends``."""
     symbols = ids.astype(np.uint32)
-    last = np.zeros(len(symbols), dtype=bool)
-    last[ends - 1] = True
+    last = _marked(len(symbols), ends - 1)
+    live = np.ones(len(symbols), dtype=bool)
     rules: list[np.ndarray] = []
-    while len(rules) < ROUNDS and len(symbols) > 1:
-        done = _round(symbols, last, FIRST_RULE + sum(map(len, rules)))
+    while len(symbols) > 1:
+        done = _round(symbols, last, live, FIRST_RULE + sum(map(len, rules)))
         if done is None:
             break
         rules.append(done[0])
-        symbols, last = done[1:]
+        symbols, last, live = done[1:]
     table = np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
     return table, symbols, np.flatnonzero(last) + 1
 
@@ -258,17 +317,20 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, block
             return out
 
         for df in batches:
-            for doc, text in zip(df["doc_id"].astype(object), df["text"], strict=True):
+            for doc, none, text in zip(df[ID].tolist(), df[NONE].tolist(), df["text"], strict=True):
                 ids = enc.ids(text or "")
                 held.append(ids)
-                names.append(None if pd.isna(doc) else int(doc))
+                names.append(None if none else doc)
                 size += len(ids)
                 if size >= block_ids:
                     yield block()
         if held:
             yield block()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # an id that many rows share, or null, may span partitions; rows that are equal are told apart by nothing and needn't be
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select(*id_columns(), "text")
     ordered.mapInPandas(blocks, "part long, seq long, before long, n_ids long, payload binary").write.option("compression", "zstd").parquet(path)
 
 
@@ -297,6 +359,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def token_report(docs: DataFrame) -> DataFrame:
     """Write the documents' ids to the shared folder and report each document from the files."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tarnlake-tokens-{uuid.uuid4().hex}"
+    path = own_path(spark, "tokens")
     write_tokens(docs, path)
     return read_tokens(spark, path)
