@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnlake.operators.order import running_sums
+
 
 def hash_order(*columns: Column, seed: int = 42) -> Column:
     """A key that puts rows in an order that looks random and is the same in every run and engine."""
@@ -89,8 +91,9 @@ def merged_responses(first: DataFrame, retried: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(scores: DataFrame, points: int = 100) -> DataFrame:
-    """(threshold, tp, fp, f1, youden, balanced_accuracy, mcc, g_mean) over an even grid, of (score, label).
+    """(threshold, tp, fp, f1, youden, balanced_accuracy, mcc, g_mean, iba) over an even grid, of (score, label).
 
+    iba is the index of balanced accuracy, balanced accuracy times one plus the dominance of either rate.
     Scores are counted by grid cell first, so the window runs over as many rows as there are points.
     """
     ends = scores.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
@@ -103,7 +106,7 @@ def threshold_sweep(scores: DataFrame, points: int = 100) -> DataFrame:
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     tpr, tnr = ratio(tp, pos), ratio(tn, neg)
     mcc = ratio(tp * tn - fp * fn, F.sqrt((tp + fp) * pos * neg * (tn + fn)))
-    return at.select(F.round("threshold", 6).alias("threshold"), "tp", "fp", *[F.round(c, 6).alias(n) for n, c in (("f1", ratio(2 * tp, 2 * tp + fp + fn)), ("youden", tpr + tnr - 1), ("balanced_accuracy", (tpr + tnr) / 2), ("mcc", mcc), ("g_mean", F.sqrt(tpr * tnr)))])
+    return at.select(F.round("threshold", 6).alias("threshold"), "tp", "fp", *[F.round(c, 6).alias(n) for n, c in (("f1", ratio(2 * tp, 2 * tp + fp + fn)), ("youden", tpr + tnr - 1), ("balanced_accuracy", (tpr + tnr) / 2), ("mcc", mcc), ("g_mean", F.sqrt(tpr * tnr)), ("iba", (tpr + tnr) / 2 * (1 + F.abs(tpr - tnr))))])
 
 
 def otsu(scores: DataFrame, bins: int = 256) -> DataFrame:
@@ -132,11 +135,12 @@ def welch_t(scores: DataFrame) -> DataFrame:
 def rank_tests(scores: DataFrame) -> DataFrame:
     """(ks, u, z): the Kolmogorov-Smirnov distance and the Mann-Whitney statistic of label 1 against the others.
 
-    Equal scores are counted first; the running counts go over the distinct scores.
+    Equal scores are counted first; the running counts go over ranges of the distinct scores.
     """
     counts = scores.groupBy("score").agg(F.sum((F.col("label") == 1).cast("long")).alias("p"), F.sum((F.col("label") != 1).cast("long")).alias("q"))
-    low, whole = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy()
-    run = counts.select("p", "q", F.sum("p").over(low).alias("cp"), F.sum("q").over(low).alias("cq"), F.sum("p").over(whole).cast("double").alias("n1"), F.sum("q").over(whole).cast("double").alias("n0"))
+    run = running_sums(counts, [F.col("score")], {"cp": F.col("p"), "cq": F.col("q")})
+    sizes = counts.agg(F.sum("p").cast("double").alias("n1"), F.sum("q").cast("double").alias("n0"))
+    run = run.crossJoin(F.broadcast(sizes))
     out = run.agg(F.max(F.abs(F.col("cp") / F.col("n1") - F.col("cq") / F.col("n0"))).alias("ks"), F.sum(F.col("p") * (F.col("cq") - F.col("q") + F.col("q") / 2)).alias("u"), F.first("n1").alias("n1"), F.first("n0").alias("n0"))
     z = (F.col("u") - F.col("n1") * F.col("n0") / 2) / F.sqrt(F.col("n1") * F.col("n0") * (F.col("n1") + F.col("n0") + 1) / 12)
     return out.select(F.round("ks", 6).alias("ks"), F.round("u", 1).alias("u"), F.round(z, 6).alias("z"))
@@ -147,6 +151,50 @@ def folds(rows: DataFrame, key: str, n: int = 5, seed: int = 42) -> DataFrame:
     return rows.withColumn("fold", F.conv(F.substring(hash_order(F.col(key), seed=seed), 1, 8), 16, 10).cast("long") % n)
 
 
+def vote_splits(votes: DataFrame, n: int = 5) -> DataFrame:
+    """(yes, no, unsure, pairs): how often pairs of n votes divide in which way, as in 3-2."""
+    count = lambda v: F.count_if(F.col("vote") == v)
+    per = votes.groupBy("pair").agg(count("YES").alias("yes"), count("NO").alias("no"), count("UNSURE").alias("unsure"), F.count(F.lit(1)).alias("n"))
+    return per.filter(F.col("n") == n).groupBy("yes", "no", "unsure").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def unsure_rate(votes: DataFrame, by: str) -> DataFrame:
+    """(by, n, unsure, rate) of votes by a judge's, model's or level's column."""
+    rows = votes.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("vote") == "UNSURE").alias("unsure"))
+    return rows.withColumn("rate", F.round(F.col("unsure") / F.col("n"), 6))
+
+
+def confusion_by(judged: DataFrame, level: str, truth: str = "truth", vote: str = "vote") -> DataFrame:
+    """(level, tp, fp, tn, fn, unsure, accuracy): the confusion of each level."""
+    yes, no, t = F.col(vote) == "YES", F.col(vote) == "NO", F.col(truth) == 1
+    out = judged.groupBy(level).agg(*[F.count_if(c).alias(n) for n, c in (("tp", yes & t), ("fp", yes & ~t), ("tn", no & ~t), ("fn", no & t), ("unsure", ~yes & ~no))], F.count(F.lit(1)).alias("n"))
+    return out.select(level, "tp", "fp", "tn", "fn", "unsure", F.round((F.col("tp") + F.col("tn")) / F.col("n"), 6).alias("accuracy"))
+
+
+def signal_agreement(signals: DataFrame, truth: str, *names: str) -> DataFrame:
+    """(signal, n, agree, rate): how often each boolean column says what the truth column does."""
+    parts = [F.struct(F.lit(n).alias("signal"), (F.col(n).cast("int") == F.col(truth).cast("int")).alias("same")) for n in names]
+    rows = signals.select(F.explode(F.array(*parts)).alias("x")).select("x.*").filter("same IS NOT NULL")
+    return rows.groupBy("signal").agg(F.count(F.lit(1)).alias("n"), F.count_if("same").alias("agree")).withColumn("rate", F.round(F.col("agree") / F.col("n"), 6))
+
+
+def graph_agreement(graphs: dict[str, DataFrame]) -> DataFrame:
+    """(a, b, shared, either, agreement): shared edges of each two graphs over all edges of either."""
+    names = sorted(graphs)
+    marked = reduce(DataFrame.unionByName, [graphs[n].select("src", "dst", F.lit(n).alias("graph")) for n in names]).distinct()
+    sets = marked.groupBy("src", "dst").agg(F.collect_set("graph").alias("s"))  # one entry a graph
+    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.array_contains("s", a).alias("x"), F.array_contains("s", b).alias("y")) for i, a in enumerate(names) for b in names[i + 1 :]]
+    found = sets.select(F.explode(F.array(*rows)).alias("p")).select("p.*").filter("x OR y")
+    return found.groupBy("a", "b").agg(F.count_if(F.col("x") & F.col("y")).alias("shared"), F.count(F.lit(1)).alias("either")).withColumn("agreement", F.round(F.col("shared") / F.col("either"), 6))
+
+
+def hybrid_threshold(scores: DataFrame) -> DataFrame:
+    """(threshold): the lower of the least score with a direct link and the 95th percentile of the others."""
+    direct = F.min(F.when(F.col("label") == 1, F.col("score")))
+    rest = F.percentile(F.when(F.col("label") != 1, F.col("score")), F.lit(0.95))
+    return scores.agg(F.round(F.least(direct, rest), 6).alias("threshold"))
+
+
 def non_direct_p95(scores: DataFrame) -> DataFrame:
     """(threshold): the 95th percentile of the scores without a direct link."""
     return scores.filter("label <> 1").agg(F.round(F.percentile("score", F.lit(0.95)), 6).alias("threshold"))

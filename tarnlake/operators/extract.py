@@ -134,7 +134,7 @@ def markdown_blocks(text: str) -> list[list[str]]:
         elif held:
             out.append(held)
             held = []
-    return [b for b in out if len(b) >= 2 and (any(map(is_separator, b)) or sum(x.count("|") >= 3 for x in b) >= 2)]
+    return [b for b in out if len(b) >= 2 and (any(map(is_separator, b)) or sum(x.count("|") >= 2 for x in b) >= 2)]
 
 
 def is_badges(block: list[str]) -> bool:
@@ -150,7 +150,7 @@ def plain_cell(cell: str) -> str:
 
 
 def markdown_grid(block: list[str]) -> Grid:
-    """Rows of a block without separators, cells plain, filled up or cut to the header's width."""
+    """Rows of a block without separators, cells plain, filled up to the widest row's width."""
     rows = [[plain_cell(c) for c in split_row(x)] for x in block if not is_separator(x)]
     width = max(map(len, rows), default=0)
     return [r + [""] * (width - len(r)) for r in rows]
@@ -176,6 +176,29 @@ def tables_of(text: str | None) -> list[Grid]:
     return out
 
 
+def github_tables(files: DataFrame, key: str = "name", text: str = "text", most_bytes: int = 5 << 20) -> DataFrame:
+    """(key, n_bytes, tables): the tables of each file, numbered from 0 and named <key>_table_<n>.csv.
+
+    A file over ``most_bytes`` keeps its row with null tables; one without tables, or with null text,
+    has an empty list. Tables (name, header, rows) alike in a file are each kept; each file counts.
+    """
+    kind = files.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            out = []
+            for name, body in zip(df[key], df[text], strict=True):
+                size = len((body or "").encode("utf-8", "surrogatepass"))
+                found = None
+                if size <= most_bytes:
+                    grids = [markdown_grid(b) for b in markdown_blocks(body or "") if not is_badges(b)]
+                    found = [{"name": f"{name}_table_{i}.csv", "header": g[0], "rows": g[1:]} for i, g in enumerate(grids)]
+                out.append((name, size, found))
+            yield pd.DataFrame(out, columns=[key, "n_bytes", "tables"])
+
+    return files.select(key, text).mapInPandas(run, f"{key} {kind}, n_bytes long, tables array<struct<name: string, header: array<string>, rows: array<array<string>>>>")
+
+
 def paper_tables(html: str | None) -> list[Grid]:
     """Captioned tables of a paper's page; equation layouts are left out."""
     out = []

@@ -36,6 +36,18 @@ def overlap_scores(refs: DataFrame, least: float = 0.0) -> DataFrame:
     return out.filter(F.col("max_pr") >= least) if least else out
 
 
+def overlap_by_intent(refs: DataFrame, least: float = 0.0) -> DataFrame:
+    """The overlap scores of references (paper, ref, intent, influential): a row for each variant that a pair has.
+
+    variant is an intent or overall, with _infl for influential references alone.
+    """
+    marks = F.array_distinct(F.flatten(F.array(F.array(F.lit("overall"), F.col("intent")), F.when(F.col("influential"), F.array(F.lit("overall_infl"), F.concat("intent", F.lit("_infl")))).otherwise(F.array().cast("array<string>")))))
+    rows = refs.select("paper", "ref", F.explode(marks).alias("variant")).filter("variant IS NOT NULL")
+    named = rows.select(F.struct("variant", "paper").alias("paper"), F.struct("variant", "ref").alias("ref"))
+    out = overlap_scores(named, least)
+    return out.select(F.col("a.variant").alias("variant"), F.col("a.paper").alias("a"), F.col("b.paper").alias("b"), *[c for c in out.columns if c not in ("a", "b")])
+
+
 def direct_edges(refs: DataFrame, cites: DataFrame | None = None) -> DataFrame:
     """Papers of which one is among the other's references, or citations where given."""
     papers = refs.select("paper").distinct()
@@ -55,8 +67,16 @@ def lift_edges(incidence: DataFrame, adjacency: DataFrame, include_self: bool =
     return edges_of(reach.join(inc.withColumnRenamed("table", "to"), "node"), "from", "to")
 
 
-def shared_target_edges(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Models (model, target) that share a target; with known models, also a model and its target."""
+def shared_target_edges(links: DataFrame, known: DataFrame | None = None, fold_case: bool = False) -> DataFrame:
+    """Models (model, target) that share a target; with known models, also a model and its target.
+
+    With fold_case targets are matched whatever their case, and known ones keep their own spelling.
+    """
+    if fold_case:
+        links = links.withColumn("target", F.lower("target"))
+        if known is not None:
+            spelled = known.groupBy(F.lower("model").alias("target")).agg(F.min("model").alias("own"))
+            links = links.join(spelled, "target", "left").select("model", F.coalesce("own", "target").alias("target"))
     links = links.select("model", "target").distinct()
     pairs = links.alias("x").join(links.alias("y"), "target").filter("x.model < y.model").select(F.col("x.model").alias("a"), F.col("y.model").alias("b"))
     if known is not None:

@@ -92,6 +92,33 @@ def _named(intent: str):
     return lambda x: F.coalesce(F.array_contains(F.flatten(x["intents"]), intent), F.lit(False))
 
 
+def _intent_is(name: str):
+    return lambda p: p["intent"] == name
+
+
+def citation_contexts(df: DataFrame, json_col: str) -> DataFrame:
+    """The rows with the contexts of each intent: methodology_contexts, background_contexts, result_contexts.
+
+    The n-th intent of an item goes with its n-th context; where their counts differ, with all of
+    them joined by a space. An intent that is none of the known ones, nor null or none, is an error.
+    """
+    items = F.filter(F.coalesce(F.from_json(json_col, CITATIONS)["data"], F.array().cast(CITATIONS[13:-1])), lambda x: x["id"].isNotNull() & x["intents"].isNotNull())
+
+    def pairs(x: Column) -> Column:
+        intents, contexts = F.flatten(x["intents"]), F.coalesce(x["contexts"], F.array().cast("array<string>"))
+        joined = F.array_join(contexts, " ")
+        own = F.when(F.size(intents) == F.size(contexts), contexts).otherwise(F.transform(intents, lambda _: joined))
+        return F.arrays_zip(intents.alias("intent"), own.alias("context"))
+
+    found = F.flatten(F.transform(items, pairs))
+    strange = F.filter(found, lambda p: ~F.coalesce(p["intent"], F.lit("none")).isin(*INTENTS, "None", "none"))
+    checked = F.when(F.size(strange) > 0, F.raise_error(F.concat(F.lit("unknown intent: "), F.get(strange, F.lit(0))["intent"]))).otherwise(found)
+    rows = df.withColumn("cited_pairs", checked)
+    for name in INTENTS:
+        rows = rows.withColumn(f"{name}_contexts", F.transform(F.filter("cited_pairs", _intent_is(name)), lambda p: p["context"]))
+    return rows.drop("cited_pairs")
+
+
 def citation_intents(df: DataFrame, json_col: str) -> DataFrame:
     """Eight distinct id lists of a JSON column: overall and by intent, all and influential ones.
 

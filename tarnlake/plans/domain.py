@@ -159,11 +159,12 @@ def bm25(spark, sf_dir):
     return _bm25(spark, sf_dir).select("query_id", "rank", F.round("score", 4).alias("score"))
 
 
-@query("q3_hybrid_interpolated")
+@query("q3_hybrid_interpolated", f"""WITH {_BM}, sp AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s), b AS (SELECT query_id, doc_id, score AS sc, rank / CAST(20 AS DOUBLE) AS d FROM sp WHERE rank <= 20)
+ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY v DESC, doc_id) AS INTEGER) AS rank, round(v, 3) AS score FROM (SELECT query_id, doc_id, round(0.45 * sc + d, 9) AS v FROM b) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY v DESC, doc_id) <= 10""")
 def hybrid(spark, sf_dir):
     sparse = _bm25(spark, sf_dir, 20)
     other = sparse.select("query_id", (21 - F.col("rank")).alias("rank"), "doc_id", (F.col("rank") / 20).alias("score"))
-    return S.hybrid_interpolate(other, sparse, 0.45, 10)
+    return S.hybrid_interpolate(other, sparse, 0.45, 10).select("query_id", "rank", F.round("score", 3).alias("score"))
 
 
 def _results(spark, sf_dir):
@@ -252,19 +253,27 @@ def merged(spark, sf_dir):
     return E.merged_responses(d.withColumn("response", F.when(F.col("pair") % 2 == 0, "first")), d.filter("pair % 3 = 0").withColumn("response", F.lit("again")))
 
 
-@query("e6_threshold_sweep")
+_GRID = """s AS (SELECT value AS score, user_id % 2 AS label FROM events), e AS (SELECT min(score) AS lo, max(score) AS hi FROM s),
+ c AS (SELECT least({n} - 1, CAST(floor((score - lo) / greatest(hi - lo, 1e-300) * {n}) AS INTEGER)) AS cell, any_value(lo) AS lo, any_value(hi) AS hi, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS p, sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS q FROM s, e GROUP BY 1)"""
+_RATES = "CASE WHEN pos > 0 THEN tp / pos ELSE 0 END AS tpr, CASE WHEN neg > 0 THEN (neg - fp) / neg ELSE 0 END AS tnr, CASE WHEN (tp + fp) * pos * neg * (neg - fp + pos - tp) > 0 THEN (tp * (neg - fp) - fp * (pos - tp)) / sqrt((tp + fp) * pos * neg * (neg - fp + pos - tp)) ELSE 0 END AS mcc, CASE WHEN tp + fp + pos > 0 THEN 2 * tp / (tp + fp + pos) ELSE 0 END AS f1"
+
+
+@query("e6_threshold_sweep", f"""WITH {_GRID.format(n=100)}, r AS (SELECT lo + cell * (hi - lo) / 100 AS threshold, CAST(sum(p) OVER (ORDER BY cell DESC) AS DOUBLE) AS tp, CAST(sum(q) OVER (ORDER BY cell DESC) AS DOUBLE) AS fp, CAST(sum(p) OVER () AS DOUBLE) AS pos, CAST(sum(q) OVER () AS DOUBLE) AS neg FROM c), m AS (SELECT *, {_RATES} FROM r)
+ SELECT round(threshold, 6) AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(f1, 6) AS f1, round(tpr + tnr - 1, 6) AS youden, round((tpr + tnr) / 2, 6) AS balanced_accuracy, round(mcc, 6) AS mcc, round(sqrt(tpr * tnr), 6) AS g_mean, round((tpr + tnr) / 2 * (1 + abs(tpr - tnr)), 6) AS iba FROM m""")
 def sweep(spark, sf_dir):
     return E.threshold_sweep(_t(spark, sf_dir, "events").select(F.col("value").alias("score"), (F.col("user_id") % 2).alias("label")))
 
 
-@query("e6b_otsu")
+@query("e6b_otsu", f"""WITH {_GRID.format(n=256)}, w AS (SELECT cell, lo, hi, CAST(p + q AS DOUBLE) AS n FROM c), r AS (SELECT cell, lo, hi, sum(n) OVER (ORDER BY cell) AS w0, sum(n * cell) OVER (ORDER BY cell) AS s0, sum(n) OVER () AS w, sum(n * cell) OVER () AS s FROM w),
+ g AS (SELECT *, CASE WHEN w - w0 > 0 THEN w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)) ELSE -1 END AS b FROM r) SELECT round(lo + (cell + 1) * (hi - lo) / 256, 6) AS threshold FROM g ORDER BY b DESC, cell LIMIT 1""")
 def otsu(spark, sf_dir):
     return E.otsu(_t(spark, sf_dir, "events").select(F.col("value").alias("score")))
 
 
-@query("s16_catalog")
+@query("s16_catalog", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows, (SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE SELECT * FROM {t})) AS n_columns FROM {t}" for t in TABLES))
 def catalog(spark, sf_dir):
-    return readers.schema_catalog(spark, {t: f"{sf_dir.rstrip('/')}/{t}.parquet" for t in TABLES}).drop("bytes")
+    found = readers.schema_catalog(spark, {t: f"{sf_dir.rstrip('/')}/{t}.parquet" for t in TABLES})
+    return found.select("name", "n_rows", F.size("columns").alias("n_columns"))
 
 
 @query("k3_corpus_lines", "SELECT CAST(item_id AS VARCHAR) AS id, text AS contents FROM benchmark WHERE trim(text) <> ''")
@@ -335,3 +344,74 @@ def p95(spark, sf_dir):
 @query("e6f_folds", "SELECT event_id, CAST(('0x' || substr(md5('42-' || event_id), 1, 8)) AS BIGINT) % 5 AS fold FROM events")
 def fold_numbers(spark, sf_dir):
     return E.folds(_t(spark, sf_dir, "events").select("event_id"), "event_id")
+
+
+def _many(spark, sf_dir):
+    return _votes(spark, sf_dir).withColumn("level", F.col("judge") % 5)
+
+
+@query("e3c_vote_splits", f"WITH v AS (SELECT event_id % 500 AS pair, event_id AS judge, CASE WHEN value > 60 THEN 'YES' WHEN value < 30 THEN 'NO' ELSE 'UNSURE' END AS vote FROM events), p AS (SELECT pair, count(*) FILTER (WHERE vote = 'YES') AS yes, count(*) FILTER (WHERE vote = 'NO') AS no, count(*) FILTER (WHERE vote = 'UNSURE') AS unsure, count(*) AS n FROM v GROUP BY pair) SELECT yes, no, unsure, count(*) AS pairs FROM p WHERE n = (SELECT max(n) FROM p) GROUP BY 1, 2, 3")
+def splits(spark, sf_dir):
+    votes = _votes(spark, sf_dir)
+    most = votes.groupBy("pair").count().agg(F.max("count")).first()[0]
+    return E.vote_splits(votes, most)
+
+
+@query("e3d_unsure_rate", "WITH v AS (SELECT event_id % 5 AS level, CASE WHEN value > 60 THEN 'YES' WHEN value < 30 THEN 'NO' ELSE 'UNSURE' END AS vote FROM events) SELECT level, count(*) AS n, count(*) FILTER (WHERE vote = 'UNSURE') AS unsure, round(count(*) FILTER (WHERE vote = 'UNSURE') / CAST(count(*) AS DOUBLE), 6) AS rate FROM v GROUP BY 1")
+def unsure(spark, sf_dir):
+    return E.unsure_rate(_many(spark, sf_dir), "level")
+
+
+@query("e3e_confusion_by_level", f"WITH {_VOTES}, j AS (SELECT pair % 3 AS level, pair % 2 AS truth, vote FROM b WHERE r = 1) SELECT level, count(*) FILTER (WHERE vote = 'YES' AND truth = 1) AS tp, count(*) FILTER (WHERE vote = 'YES' AND truth = 0) AS fp, count(*) FILTER (WHERE vote = 'NO' AND truth = 0) AS tn, count(*) FILTER (WHERE vote = 'NO' AND truth = 1) AS fn, count(*) FILTER (WHERE vote = 'UNSURE') AS unsure, round((tp + tn) / CAST(count(*) AS DOUBLE), 6) AS accuracy FROM j GROUP BY level")
+def confused_by(spark, sf_dir):
+    return E.confusion_by(E.majority(_votes(spark, sf_dir)).withColumns({"truth": F.col("pair") % 2, "level": F.col("pair") % 3}), "level")
+
+
+@query("e3f_signal_agreement", "SELECT 'long' AS signal, count(*) AS n, count(*) FILTER (WHERE CAST(n_chars > 500 AS INTEGER) = quality) AS agree, round(count(*) FILTER (WHERE CAST(n_chars > 500 AS INTEGER) = quality) / CAST(count(*) AS DOUBLE), 6) AS rate FROM documents JOIN labels USING (doc_id) UNION ALL SELECT 'english', count(*), count(*) FILTER (WHERE CAST(lang = 'en' AS INTEGER) = quality), round(count(*) FILTER (WHERE CAST(lang = 'en' AS INTEGER) = quality) / CAST(count(*) AS DOUBLE), 6) FROM documents JOIN labels USING (doc_id) WHERE lang IS NOT NULL")
+def signals(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id").select("quality", (F.col("n_chars") > 500).alias("long"), (F.col("lang") == "en").alias("english"))
+    return E.signal_agreement(rows, "quality", "long", "english")
+
+
+@query("e4c_graph_agreement", f"WITH a AS ({_e(1)}), b AS ({_e(2)}), c AS (SELECT (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS shared, (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) AS either) SELECT 'first' AS a, 'second' AS b, shared, either, round(shared / CAST(either AS DOUBLE), 6) AS agreement FROM c")
+def graphs_agree(spark, sf_dir):
+    return E.graph_agreement({"first": _edges(spark, sf_dir, 1), "second": _edges(spark, sf_dir, 2)})
+
+
+@query("e6g_hybrid_threshold", f"WITH {_SCORES} SELECT round(least(min(score) FILTER (WHERE label = 1), quantile_cont(score, 0.95) FILTER (WHERE label <> 1)), 6) AS threshold FROM s")
+def hybrid_min(spark, sf_dir):
+    return E.hybrid_threshold(_scores(spark, sf_dir))
+
+
+@query("g5b_citation_contexts", "SELECT event_id, 'c1' AS methodology, CASE WHEN event_id % 2 = 0 THEN 'c2' ELSE 'x y z' END AS background FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'x y z', 'x y z' FROM events WHERE event_id % 2 = 1")
+def cited_contexts(spark, sf_dir):
+    """Two intents with two contexts in even rows, with three in odd ones."""
+    contexts = F.when(F.col("event_id") % 2 == 0, F.lit('["c1","c2"]')).otherwise(F.lit('["x","y","z"]'))
+    doc = F.concat(F.lit('{"data":[{"id":1,"isInfluential":true,"intents":[["methodology"],["background"]],"contexts":'), contexts, F.lit("}]}"))
+    out = L.citation_contexts(_t(spark, sf_dir, "events").select("event_id", doc.alias("j")), "j")
+    return out.select("event_id", F.array_join("methodology_contexts", "|").alias("methodology"), F.array_join("background_contexts", "|").alias("background"))
+
+
+@query("g6c_overlap_by_intent", """WITH r AS (SELECT DISTINCT o_custkey AS paper, l_partkey AS ref, l_returnflag AS intent, l_quantity > 40 AS infl FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+ x AS (SELECT DISTINCT paper, ref, unnest(CASE WHEN infl THEN ['overall', intent, 'overall_infl', intent || '_infl'] ELSE ['overall', intent] END) AS variant FROM r), n AS (SELECT variant, paper, count(*) AS n FROM x GROUP BY 1, 2),
+ s AS (SELECT a.variant, a.paper AS a, b.paper AS b, count(*) AS i FROM x a JOIN x b ON a.variant = b.variant AND a.ref = b.ref AND a.paper < b.paper GROUP BY 1, 2, 3)
+ SELECT s.variant, a, b, i AS inter, round(i / CAST(na.n + nb.n - i AS DOUBLE), 6) AS jaccard FROM s JOIN n na ON na.variant = s.variant AND na.paper = a JOIN n nb ON nb.variant = s.variant AND nb.paper = b WHERE greatest(i / CAST(na.n AS DOUBLE), i / CAST(nb.n AS DOUBLE)) >= 0.1""")
+def overlap_variants(spark, sf_dir):
+    refs = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "lineitem"), F.expr("o_orderkey = l_orderkey")).select(F.col("o_custkey").alias("paper"), F.col("l_partkey").alias("ref"), F.col("l_returnflag").alias("intent"), (F.col("l_quantity") > 40).alias("influential"))
+    return G.overlap_by_intent(refs, 0.1).select("variant", "a", "b", "inter", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("g3_links", """WITH l AS (SELECT DISTINCT o_custkey AS model_id, CASE l_linenumber % 2 WHEN 0 THEN 'html' ELSE 'github' END AS source, l_partkey AS t FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+ SELECT model_id, t - t % 10 AS table_id, CASE WHEN bool_or(source = 'github') THEN 'github' ELSE 'html' END AS source FROM l GROUP BY 1, 2""")
+def led_links(spark, sf_dir):
+    links = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "lineitem"), F.expr("o_orderkey = l_orderkey")).select(F.col("o_custkey").alias("model_id"), F.when(F.col("l_linenumber") % 2 == 0, "html").otherwise("github").alias("source"), F.col("l_partkey").alias("table_id"))
+    mapping = links.select("table_id").distinct().filter("table_id % 10 <> 0").withColumn("canonical", F.col("table_id") - F.col("table_id") % 10)
+    return L.canonical_links(links, mapping)
+
+
+@query("g8b_known_targets", "WITH l AS (SELECT c_custkey AS m, 'ORG/' || c_nationkey AS t FROM customer), p AS (SELECT 'm' || a.m AS a, 'm' || b.m AS b FROM l a JOIN l b ON a.t = b.t AND a.m <> b.m UNION ALL SELECT 'm' || m, 'Org/' || substr(t, 5) FROM l) SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM p")
+def known_targets(spark, sf_dir):
+    """Targets in two spellings, and the nations' own models known by name."""
+    links = _t(spark, sf_dir, "customer").select(F.concat(F.lit("m"), F.col("c_custkey").cast("string")).alias("model"), F.concat(F.when(F.col("c_custkey") % 2 == 0, "ORG/").otherwise("org/"), F.col("c_nationkey").cast("string")).alias("target"))
+    known = _t(spark, sf_dir, "nation").select(F.concat(F.lit("Org/"), F.col("n_nationkey").cast("string")).alias("model"))
+    return G.shared_target_edges(links, known, fold_case=True)

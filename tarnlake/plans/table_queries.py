@@ -116,3 +116,11 @@ def yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n\nTable 1: scores\n\nAs the table shows.\n\n| a | b |\n")).alias("text"))
     return X.mapped(docs, lambda t: len(X.table_context(t)["captions"]), "n_captions", "int")
+
+
+@query("t1b_github_tables", "SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN octet_length(encode(coalesce(text, ''))) > 20000 THEN NULL WHEN contains(coalesce(text, ''), '|') THEN -1 ELSE 0 END AS n FROM documents")
+def github(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of over 20,000 bytes are recorded as null; texts with bars have as many tables as they may, shown as -1."""
+    files = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), "text")
+    found = X.github_tables(files, most_bytes=20_000).join(files, "name")
+    return found.select("name", F.when(F.col("tables").isNull(), None).when(F.col("text").contains("|"), F.lit(-1)).otherwise(F.size("tables")).alias("n"))

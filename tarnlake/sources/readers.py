@@ -11,8 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlake.functions.tables import cleaned
-
 CITATIONS = "citationid LONG, citingcorpusid LONG, citedcorpusid LONG, isinfluential BOOLEAN, contexts ARRAY<STRING>, intents ARRAY<ARRAY<STRING>>"
 PREFIXES = {"modelcard": "train-*.parquet", "datasetcard": "datasetcard-train-*.parquet"}
 
@@ -75,7 +73,7 @@ def parse_csv(raw: bytes, blank: str | None = None) -> list[list[str | None]]:
     return [[c if c != "" else blank for c in r] for r in rows if len(r) <= len(rows[0])]
 
 
-def scan_csv_tables(spark: SparkSession, paths: str | list[str], most_bytes: int | None = None, blank: str | None = None) -> DataFrame:
+def scan_csv_tables(spark: SparkSession, paths: str | list[str], most_bytes: int | None = None, blank: str | None = None, tidy: Callable[[list], list] | None = None) -> DataFrame:
     """(table_id, header, rows, error) of many small CSV files, read as bytes and parsed a batch at a time."""
     files = spark.read.format("binaryFile").load(paths)
     if most_bytes is not None:
@@ -87,6 +85,7 @@ def scan_csv_tables(spark: SparkSession, paths: str | list[str], most_bytes: int
             for path, raw in zip(df["path"], df["content"], strict=True):
                 try:
                     rows = parse_csv(raw, blank)
+                    rows = tidy(rows) if tidy else rows
                     out.append((path, rows[0] if rows else None, rows[1:], None if rows else "empty"))
                 except csv.Error as e:
                     out.append((path, None, [], str(e)))
@@ -100,10 +99,18 @@ def scan_csv_display(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return scan_csv_tables(spark, paths, blank="")
 
 
+def without_blanks(rows: list[list[str | None]]) -> list[list[str]]:
+    """A table's rows, the header first, without blank rows and columns; white-space cells are empty."""
+    tidy = [[c if c and c.strip() else "" for c in r] for r in rows]
+    tidy = [r for r in tidy if any(r)]
+    width = max(map(len, tidy), default=0)
+    filled = [i for i in range(width) if any(i < len(r) and r[i] for r in tidy)]
+    return [[r[i] if i < len(r) else "" for i in filled] for r in tidy]
+
+
 def scan_csv_analysis(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """CSV tables as text without blank rows and columns; the header loses the blank columns too."""
-    whole = F.concat(F.array("header"), "rows")
-    return scan_csv_display(spark, paths).filter("header IS NOT NULL").withColumn("whole", cleaned(whole)).select("table_id", F.get("whole", F.lit(0)).alias("header"), F.slice("whole", F.lit(2), F.greatest(F.size("whole") - 1, F.lit(0))).alias("rows"), "error")
+    return scan_csv_tables(spark, paths, blank="", tidy=without_blanks)
 
 
 def _npz(paths: str | list[str], spark: SparkSession, parse: Callable, schema: str) -> DataFrame:
