@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 #: Settings for large clusters; AQE sizes and splits the shuffle partitions at run time.
 DEFAULTS = {
@@ -105,6 +106,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that may be joined by broadcast.
+FEW_ROWS = 1 << 18
+
+
+def near(df: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row, marked for broadcast if it has ``FEW_ROWS`` rows at most; else it is joined by shuffle."""
+    return broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
+
+
 def discard(*copies: DataFrame) -> None:
     """Delete results of ``stored`` that nothing reads any more."""
     for df in copies:
