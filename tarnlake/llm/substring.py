@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnlake.llm.ids import ID, NONE, id_columns, ids_of
-from tarnlake.session import discard, stored
+from tarnlake.session import discard, near, stored
 
 WINDOW, GRAM = 35, 8
 #: Windows in a run; longer runs, as of a word said over and over, are cut.
@@ -236,12 +236,12 @@ def recurring_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     discard(every)
     place = F.struct("k", "h", "first", "n")
     passages = stored(runs.groupBy("anchor", "passage").agg(F.count(F.lit(1)).alias("count"), F.min(place).alias("at")), "substring-passages")
-    crowds = passages.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("parts")).filter("parts > 1")
-    parted = passages.join(crowds, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    crowds = stored(passages.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("parts")).filter("parts > 1"), "substring-crowds")
+    parted = passages.join(near(crowds), "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     by_row = parted.groupBy(F.col("at.k").alias("k"), F.col("at.h").alias("h")).agg(F.collect_list(F.struct("anchor", "parts", "passage", "count", F.col("at.first").alias("first"), F.col("at.n").alias("n"))).alias("places"))
     read = _read_passages(keyed.select("k", "h", "text").join(by_row, ["k", "h"]).select("text", "places"))
     spans = stored(_located(read), "substring-spans")
-    discard(passages)
+    discard(passages, crowds)
     found = runs.select("anchor", "passage", "k", "h", "first").join(spans, ["anchor", "passage"])
     moved = F.transform("spans", lambda x: x + F.col("first"))
     return keyed, found.select("k", "h", moved.alias("spans")).groupBy("k", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"))
