@@ -21,6 +21,7 @@ NO_PAPER = (
     "png", "jpg", "jpeg", "gif", "zip", "rar", "7z", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "mp4", "mp3", "md", "pth", "pt", "ckpt",
     "safetensors", "json", "py", "ipynb", "csv", "tsv", "bin", "h5", "onnx", "pkl", "tar", "gz", "mov",
 )
+# Fixed value: what counts as a link.
 LINK = r"(https?://\S+|www\.\S+)"
 
 

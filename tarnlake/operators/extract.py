@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 TABLE_SCHEMA = "k int, header array<string>, rows array<array<string>>"
 SEPARATOR_CELL = re.compile(r"\s*:?-+:?\s*")
+# Fixed value: what tells a badge.
 BADGE = re.compile(r"img\.shields\.io|!\[|badge", re.I)
 
 Grid = list[list[str]]

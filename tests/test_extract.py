@@ -7,7 +7,20 @@ def test_markdown_table():
 
 
 def test_borderless_table():
-    assert X.markdown_blocks("Branch | Bits | GS\n----- | ---- | --\nmain | 4 | 128\n")[0][0] == "| Branch | Bits | GS |"
+    assert X.markdown_blocks("Run | Steps | Loss\n--- | ----- | ----\nfirst | 900 | 1.7\n")[0][0] == "| Run | Steps | Loss |"
+
+
+def test_one_column_without_a_separator_is_a_table():
+    assert X.tables_of("| name |\n| first |\n| second |") == [[["name"], ["first"], ["second"]]]
+
+
+def test_github_tables(spark):
+    """Numbered from 0; alike tables are each kept; a large file is null, one without tables empty."""
+    table = "| a | b |\n|---|---|\n| 1 | 2 |\n"
+    files = spark.createDataFrame([("x", f"{table}\nand\n\n{table}"), ("large", table + "w" * 200), ("none", "prose"), ("null", None)], "name string, text string")
+    got = {r.name: r.tables for r in X.github_tables(files, most_bytes=150).collect()}
+    assert [t.name for t in got["x"]] == ["x_table_0.csv", "x_table_1.csv"] and got["x"][1].rows == [["1", "2"]]
+    assert got["large"] is None and got["none"] == [] and got["null"] == []
 
 
 def test_one_bar_is_no_table():
@@ -15,9 +28,9 @@ def test_one_bar_is_no_table():
 
 
 def test_empty_cells_stay():
-    assert X.tables_of("|||TruthfulQA|Toxigen|\n|---|---|---|---|\n|Llama 1|7B|27.42|23.00|") == [[["", "", "TruthfulQA", "Toxigen"], ["Llama 1", "7B", "27.42", "23.00"]]]
+    assert X.tables_of("|||Recall|Speed|\n|---|---|---|---|\n|Heron|2B|0.61|140|") == [[["", "", "Recall", "Speed"], ["Heron", "2B", "0.61", "140"]]]
     assert X.tables_of("|a|b|c|d|\n|-|-|-|-|\n|1|2||4|\n|5||7|8|")[0][1:] == [["1", "2", "", "4"], ["5", "", "7", "8"]]
-    assert X.tables_of("|Name|Age|City||\n|-|-|-|-|\n|John|30|NYC||")[0] == [["Name", "Age", "City", ""], ["John", "30", "NYC", ""]]
+    assert X.tables_of("|Tree|Height|Leaf||\n|-|-|-|-|\n|Oak|22|lobed||")[0] == [["Tree", "Height", "Leaf", ""], ["Oak", "22", "lobed", ""]]
 
 
 def test_same_table_in_html_and_markdown_is_one():

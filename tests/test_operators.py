@@ -155,3 +155,77 @@ def test_fuzzy_titles_of_all_rows(spark, sf_dir):
         want |= {(i, n, j, -s) for n, (s, j) in enumerate(found, 1)}
     got = {tuple(r) for r in catalog.queries()["q7_fuzzy_titles"](spark, sf_dir).collect()}
     assert got == want
+
+
+def test_sampled_pairs_serve_rare_combinations_first(spark):
+    from tarnlake.operators import evaluate as E
+
+    rows = [(i, i + 1000, int(i < 3), int(i % 2), f"{int(i < 3)}{i % 2}") for i in range(100)]
+    got = E.sample_pairs_8way(spark.createDataFrame(rows, "a long, b long, x int, y int, combination string"), 40).collect()
+    count = {}
+    for r in got:
+        count[r.combination] = count.get(r.combination, 0) + 1
+    assert count == {"11": 1, "10": 2, "01": 18, "00": 19}
+
+
+def test_packed_chunks_are_balanced(spark):
+    from pyspark.sql import functions as F
+
+    from tarnlake.functions import text as T
+
+    row = spark.range(1).select(T.packed_chunks(F.array(*[F.lit(x) for x in (30, 30, 30, 30, 200, 10)]), 110, 10).alias("c")).first()
+    assert row.c[0] == 0 and row.c == sorted(row.c) and row.c[4] > row.c[3]
+
+
+def test_running_sums_and_ranks(spark):
+    """Over several ranges, with ties, against plain sums."""
+    from pyspark.sql import functions as F
+
+    from tarnlake.operators import order as O
+
+    rows = [(i, (i * 7) % 5, i % 3) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, value long, w long").repartition(7)
+    want, total = {}, 0
+    for place, (i, _, w) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])), 1):
+        total += w
+        want[i] = (place, total)
+    got = O.running_sums(df, [F.col("value"), F.col("id")], {"place": F.lit(1), "sum": F.col("w")})
+    assert {r.id: (r.place, r["sum"]) for r in got.collect()} == want
+    assert O.numbered(df.limit(0), [F.col("id")]).count() == 0
+    assert O.ecdf(df.filter("id = 3"), "value", "id").first().ecdf == 0.0
+
+
+def test_list_match_of_lists_and_values(spark):
+    from tarnlake.operators import predicates as P
+
+    lists = spark.createDataFrame([(1, ["Org/Bert"]), (2, ["x"]), (3, None), (4, ["org/BERT-large", "y"])], "id int, l array<string>")
+    assert [r.id for r in lists.filter(P.list_match(lists, "l", "/bert")).collect()] == [1]
+    values = spark.createDataFrame([(1, "Org/Bert"), (2, None), (3, "bert/x")], "id int, l string")
+    assert [r.id for r in values.filter(P.list_match(values, "l", "BERT")).collect()] == [1]
+
+
+def test_unknown_intent_is_an_error(spark):
+    import pytest
+
+    from tarnlake.operators import lake as L
+
+    doc = '{"data":[{"id":1,"isInfluential":true,"intents":[["odd"]],"contexts":["c"]}]}'
+    with pytest.raises(Exception, match="unknown intent: odd"):
+        L.citation_contexts(spark.createDataFrame([(doc,)], "j string"), "j").collect()
+
+
+def test_title_gate(spark):
+    from tarnlake.operators import search as S
+
+    results = spark.createDataFrame([(1, 1, 10, 9.0), (2, 1, 20, 7.0), (3, 1, 30, 5.0)], "query_id long, rank int, doc_id long, score double")
+    asked = spark.createDataFrame([(1, "Same"), (2, "Other"), (3, "Third")], "id long, title string")
+    titles = spark.createDataFrame([(10, "same"), (20, "x"), (30, "y")], "id long, title string")
+    assert [r.query_id for r in S.title_gate(results, asked, titles).collect()] == [1]
+
+
+def test_carried_over_and_upserts(spark):
+    from tarnlake.operators import lake as L
+
+    base = spark.createDataFrame([(1, "a", 0)], "id long, card string, extra int")
+    redone = spark.createDataFrame([("b", 2)], "card string, id long")
+    assert sorted(map(tuple, L.carried_over(base, redone).collect())) == [(1, "a"), (2, "b")]
