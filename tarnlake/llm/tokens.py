@@ -98,11 +98,12 @@ class Pieces(Remembered):
         self.words = words
 
     def find(self, key: str) -> bytes:
-        parts = split_words(f" {key}")
-        if len(parts) == 1:
-            # remembered here, so not there too
-            return self.words.get(parts[0]) or self.words.find(parts[0])
-        return b"".join(map(self.words.__getitem__, parts))
+        # most pieces are one word of letters, or one and a mark; a word alone is remembered here, so not there too
+        if key.isalpha():
+            return self.words.get(f" {key}") or self.words.find(f" {key}")
+        if key[:-1].isalpha() and key[-1] in ".,;:!?":
+            return self[key[:-1]] + self.words[key[-1]]
+        return b"".join(map(self.words.__getitem__, split_words(f" {key}")))
 
 
 def split_words(text: str) -> list[str]:
