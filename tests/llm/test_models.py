@@ -303,3 +303,29 @@ def test_leaks_of_a_short_text_don_t_depend_on_its_neighbours():
     together = {(t, k, d) for t, k, d, _ in items.leaks(texts)}
     alone = {(i, k, d) for i, t in enumerate(texts) for _, k, d, _ in items.leaks([t])}
     assert together == alone
+
+
+def test_toxicity_scores_like_their_definition():
+    """Lengths of every window under both dictionaries, compressed one by one, and the curve over their figures."""
+    import zstandard
+
+    rnd = random.Random(12)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(400)]
+    texts = [" ".join([*[rnd.choice(words) for _ in range(60)], *(["wretched", "rotten"] if i % 3 == 0 else [])]) for i in range(150)]
+    model = toxicity.Model(texts[::3], [t for i, t in enumerate(texts) if i % 3])
+
+    def length(content, window):
+        params = zstandard.ZstdCompressionParameters(window_log=18, chain_log=16, hash_log=16, search_log=4, min_match=toxicity.MIN_MATCH, target_length=16, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(compression_params=params)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress(window))
+
+    for text in [texts[0], texts[1], "one", "", None, "Wretched ROTTEN " * 9]:
+        own = (text or "").lower().encode().split()
+        starts = [i for i in range(0, max(1, len(own)), toxicity.STEP) if i == 0 or len(own) - i > toxicity.WINDOW - toxicity.STEP]
+        gains = [length(model.base, w) - length(model.base + model.extra, w) for w in (b" ".join(own[i : i + toxicity.WINDOW]) for i in starts)]
+        over, n = sum(max(g - 2, 0) for g in gains), len(gains)
+        top = sorted(gains, reverse=True)
+        figures = [min(top[0], 12), min(sum(top[:3]), 30), sum(gains) / n, np.log1p(over), np.log1p(10 * over / n), np.log1p(over / np.sqrt(n)), sum(g >= 4 for g in gains) / n, np.log(n)]
+        z = ((np.array(figures) - model.mean) / model.scale) @ model.weights[:-1] + model.weights[-1]
+        assert abs(model.scores([text])[0] - 1 / (1 + np.exp(-z))) < 1e-9
