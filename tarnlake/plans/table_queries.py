@@ -112,7 +112,7 @@ def yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.tag_columns(X.front_matter_tags(docs), ["license", "tags"]).select("doc_id", F.col("tags_license").alias("license"), F.col("tags_tags").alias("tags"))
 
 
-@query("x23_table_context", "SELECT doc_id, CAST(1 + len(list_filter(regexp_split_to_array(coalesce(text, ''), '\n\s*\n'), lambda p: regexp_matches(trim(p), '^(?i)(table|tab\.)\s*[0-9ivx]+\s*[:.]'))) AS INTEGER) AS n_captions FROM documents")
+@query("x23_table_context", "SELECT doc_id, CAST(1 + len(list_filter(regexp_split_to_array(coalesce(text, ''), '\n\\s*\n'), lambda p: regexp_matches(trim(p), '^(?i)(table|tab\\.)\\s*[0-9ivx]+\\s*[:.]'))) AS INTEGER) AS n_captions FROM documents")
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n\nTable 1: scores\n\nAs the table shows.\n\n| a | b |\n")).alias("text"))
     return X.mapped(docs, lambda t: len(X.table_context(t)["captions"]), "n_captions", "int")
