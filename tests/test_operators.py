@@ -49,6 +49,18 @@ def test_shared_targets_stream_from_the_join(spark, monkeypatch):
     assert got == sorted((a, b) for a in range(40) for b in range(a + 1, 40) if held[a] & held[b])
 
 
+def test_known_targets_stream_from_the_join(spark):
+    # m1 and m2 link each other, share x, and m2 is known; m3 links the known X in another case and itself
+    links = spark.createDataFrame([("m1", "m2"), ("m2", "m1"), ("m1", "x"), ("m2", "X"), ("m3", "x"), ("m3", "M3"), (None, "x"), ("m4", None)], "model string, target string")
+    known = spark.createDataFrame([("X",), ("m2",), ("m3",), (None,)], "model string")
+    out = G.shared_target_edges(links, known, fold_case=True)
+    assert rows(out) == [("X", "m1"), ("X", "m2"), ("X", "m3"), ("m1", "m2"), ("m1", "m3"), ("m2", "m3")]
+    plain = spark.range(30).selectExpr("concat('m', id) AS model", "'org' AS target")
+    out = G.shared_target_edges(plain, spark.createDataFrame([("org",)], "model string"))
+    assert not _exchanges_above_a_join(out)
+    assert out.count() == out.distinct().count() == 30 * 29 // 2 + 30
+
+
 def test_components_example(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (4, 5), (None, 7)], "src long, dst long")
     nodes = spark.range(1, 7).toDF("n")
