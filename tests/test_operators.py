@@ -49,6 +49,20 @@ def test_shared_targets_stream_from_the_join(spark, monkeypatch):
     assert got == sorted((a, b) for a in range(40) for b in range(a + 1, 40) if held[a] & held[b])
 
 
+def test_pairs_of_a_target_take_little_room(spark, tmp_path):
+    links = spark.range(3000).selectExpr("concat('m', id) AS model", "'org' AS target")
+    G.shared_target_edges(links).write.parquet(f"{tmp_path}/out")
+    out, size = spark.read.parquet(f"{tmp_path}/out"), sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert out.count() == out.filter("src < dst").distinct().count() == 3000 * 2999 // 2
+    assert size < 0.4 * out.count()
+    # several runs and chunks, of models that have one target or more
+    held = {m: {m % 2, 2 if m % 700 == 0 else m % 2} for m in range(5000)}
+    pairs = G.shared_target_edges(spark.createDataFrame([(m, t) for m, ts in held.items() for t in ts], "model long, target long"))
+    twos, several = 2 * (2500 * 2499 // 2), [m for m in held if 2 in held[m]]
+    want = twos + sum((a + b) % 2 for i, a in enumerate(several) for b in several[:i])
+    assert pairs.count() == pairs.filter("src < dst").distinct().count() == want
+
+
 def test_known_targets_stream_from_the_join(spark):
     # m1 and m2 link each other, share x, and m2 is known; m3 links the known X in another case and itself
     links = spark.createDataFrame([("m1", "m2"), ("m2", "m1"), ("m1", "x"), ("m2", "X"), ("m3", "x"), ("m3", "M3"), (None, "x"), ("m4", None)], "model string, target string")
